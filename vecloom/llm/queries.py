@@ -7,14 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm.common import documents
+from vecloom.llm.common import documents, public_id
+from vecloom.llm.decontaminate import contamination, digest
+from vecloom.llm.mixing import mix
+from vecloom.llm.simhash import near_duplicates
 from vecloom.llm.token_files import tokens_of
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select(public_id(), "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select(public_id(), "fingerprint", public_id("component_id"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_of(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
+    "op6_simhash_neardup": op6_simhash_neardup,
     "op9_token_files": op9_token_files,
+    "op10_decontaminate": op10_decontaminate,
 }
