@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm.common import documents, public_id
 from vecloom.llm.decontaminate import contamination, digest
+from vecloom.llm.line_dedup import dedup_lines
 from vecloom.llm.mixing import mix
 from vecloom.llm.simhash import near_duplicates
 from vecloom.llm.token_files import tokens_of
@@ -18,6 +19,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(public_id(), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select(public_id(), "n_lines", "n_dropped", "kept_sha256", "keep_bitmap")
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(public_id(), "fingerprint", public_id("component_id"))
 
@@ -32,6 +37,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
