@@ -110,7 +110,7 @@ UNIT = "doc_id long, key long, source string, bucket long, mass double, p double
 
 def meet(last: bool):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "doc_id", "key"], ignore_index=True)
+        rows = rows.sort_values(["mass", "draw", "doc_id", "key"], ascending=[False, True, True, True], ignore_index=True)  # what is left over tends to be small
         p, left = pivot(rows["mass"].tolist(), rows["p"].tolist(), rows["draw"].tolist())
         if last and left >= 0:
             p[left], left = float(1 - rows["draw"][left] < p[left]), -1
