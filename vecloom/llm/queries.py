@@ -12,9 +12,14 @@ from vecloom.llm.decontaminate import contamination, digest
 from vecloom.llm.line_dedup import dedup_lines
 from vecloom.llm.mixing import mix
 from vecloom.llm.simhash import near_duplicates
+from vecloom.llm.substring_dedup import remove_repeats
 from vecloom.llm.token_files import tokens_of
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(public_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(public_id(), "size", "source_size", "target", "taken", "source", "copies")
 
@@ -36,6 +41,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
