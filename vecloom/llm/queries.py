@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vecloom.llm import quality
+from vecloom.llm.audio import media_features
 from vecloom.llm.common import documents, public_id
 from vecloom.llm.decontaminate import contamination, digest
 from vecloom.llm.line_dedup import dedup_lines
@@ -36,6 +39,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), quality.fold(3) == 1
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", ~held)
+    return quality.score(docs, net).select(public_id(), F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(documents(spark, sf_dir)).select(
+        public_id(), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_of(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_quality_cnn": op7_quality_cnn,
+    "op8_audio_features": op8_audio_features,
     "op9_token_files": op9_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
