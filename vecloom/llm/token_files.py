@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import keyed, public_id, shared_dir, shuffle_partitions, strings
+from vecloom.llm.common import keyed, public_id, shared_dir, shuffle_partitions, slabs, strings
 
 SEEK_HEAD, SEEK_FOOT, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
 LEVEL = 3
-WORDS_KEPT, LONGEST_KEPT = 300_000, 48
+WORDS_KEPT, SLAB = 1_000_000, 1 << 20
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -37,11 +37,16 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+#: Where a letter is followed by these, the tokenizer always begins a new piece.
+STOPS = ".,!?;:|%#$&*"
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer none of whose tokens holds white space.
+    """Ids of whole texts from a tokenizer that drops white space, lower-cases and marks the ends of pieces.
 
-    Such a tokenizer encodes a text as it encodes the pieces between its spaces, one after another; each
-    distinct piece goes through the library once while it is remembered. At most WORDS_KEPT are.
+    Such a tokenizer encodes a text as it encodes what stands between its spaces, one after another. Each
+    distinct such word goes through the library once while it is remembered; at most WORDS_KEPT are. New
+    words of letters go in one call, and the ids that end a piece tell them apart again.
     """
 
     def __init__(self, path: str):
@@ -49,27 +54,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def letters(self, words: list[str]) -> None:
+        """Learn words all of whose characters are letters."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = self.encode(" ".join(some))
+            end = np.flatnonzero(self.ends[ids]) + 1
+            data = ids.tobytes()
+            if len(end) != len(some):
+                self.known.update((w, self.encode(w).tobytes()) for w in some)
+            else:
+                at = (4 * np.concatenate([[0], end])).tolist()
+                self.known.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:]))
+
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        split = [(w, w.rstrip(STOPS)) for w in words]
+        cores = [c.lower() if c.isascii() else c for _, c in split]
+        self.letters(list({c for c in cores if c not in known and c.isalpha()}))
+        for (w, c), core in zip(split, cores, strict=True):
+            if not c.isalpha():
+                known[w] = self.encode(w).tobytes()
+            elif len(c) < len(w):
+                rest = w[len(c) :]
+                if rest not in known:
+                    known[rest] = self.encode(rest).tobytes()
+                known[w] = known[core] + known[rest]
+            elif w not in known:
+                known[w] = known[core]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
+        if any("<|" in x for x in texts):  # perhaps special tokens: as they are
+            return [self.encode(x).tobytes() for x in texts]
         known = self.known
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            found = list(map(known.get, words))
-            if None in found:
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > WORDS_KEPT:
-                    known.clear()
-                    new = list(set(words))
-                here = dict(zip(new, self.encode(new), strict=True))
-                known.update((w, x) for w, x in here.items() if len(w) <= LONGEST_KEPT)
-                found = [here[w] if w in here else known[w] for w in words]
-            yield b"".join(found)
+        words = [x.replace("\n", " ").split(" ") for x in texts]
+        new = set().union(*words).difference(known)
+        if len(known) + len(new) > WORDS_KEPT:
+            known.clear()
+            new = set().union(*words)
+        self.learn(new)
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -165,12 +199,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
                 out = where.open_output_stream(path, compression=None)
                 files = FrameWriter(out, words.width)
-            end = struct.pack("<I", end_id)
-            texts = batch.column(1)
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = np.frombuffer(next(words.ids([texts[i].as_py()])) + end, "<u4")
-                files.document(doc_id, ids)
-                total += len(ids)
+            end, (_, at) = struct.pack("<I", end_id), strings(batch.column(1))
+            for i, j in slabs(at, SLAB):
+                part = batch.slice(i, j - i)
+                for doc_id, data in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
+                    ids = np.frombuffer(data + end, "<u4")
+                    files.document(doc_id, ids)
+                    total += len(ids)
         if out is not None:
             files.close()
             out.close()
