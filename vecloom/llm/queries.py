@@ -12,6 +12,7 @@ from vecloom.llm import quality, toxicity
 from vecloom.llm.audio import media_features
 from vecloom.llm.common import documents, public_id
 from vecloom.llm.decontaminate import contamination, digest
+from vecloom.llm.edit_counts import edited_counts
 from vecloom.llm.line_dedup import dedup_lines
 from vecloom.llm.mixing import mix
 from vecloom.llm.simhash import near_duplicates
@@ -27,6 +28,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(public_id(), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = edited_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counts.select(public_id(), *counts.columns[1:])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), quality.fold(4) == 2
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
@@ -64,6 +70,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_edit_counts": op3_edit_counts,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
