@@ -183,3 +183,19 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(p) if p else np.zeros(0))], ["doc_id", "key", "score"])
 
     return keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, score double")
+
+
+def keep_good(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `least`; one pass, no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(model.value)
+        for b in batches:
+            data, at = strings(b.column(text))
+            p = [own.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slabs(at, 1 << 20)]
+            if p:
+                yield b.filter(pa.array(np.concatenate(p) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

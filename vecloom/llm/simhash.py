@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import keyed, public_id, settle, shuffle_partitions, strings
+from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, strings
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 SHINGLES = 1 << 16
@@ -190,3 +190,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
     roots = components(near_links(points, distance))
     named = points.join(roots, points["first"] == roots["node"], "left").select("print", F.coalesce("root", "first").alias("component_id"))
     return prints.join(named, "print").select("doc_id", "key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their component (by id, then a hash of the text); of rows with one id and text, one."""
+    first = near_duplicates(docs, words, distance).groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
+    columns = docs.columns
+    own = docs.select(
+        F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kept_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kept_key"),
+    )
+    return own.join(first, ["kept_id", "kept_key"], "left_semi").dropDuplicates(["kept_id", "kept_key"]).select("row.*")
