@@ -15,6 +15,7 @@ from vecloom.llm.decontaminate import contamination, digest
 from vecloom.llm.edit_counts import edited_counts
 from vecloom.llm.line_dedup import dedup_lines
 from vecloom.llm.mixing import mix
+from vecloom.llm.oracle import ORACLE_SQL
 from vecloom.llm.simhash import near_duplicates
 from vecloom.llm.substring_dedup import remove_repeats
 from vecloom.llm.token_files import tokens_of
@@ -40,7 +41,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).select(public_id(), "n_lines", "n_dropped", "kept_sha256", "keep_bitmap")
+    return dedup_lines(documents(spark, sf_dir)).select(public_id(), "n_lines", "n_dropped", "kept_sha256")
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_of(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
