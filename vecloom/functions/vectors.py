@@ -44,10 +44,11 @@ def dot(a: Column, b: Column, dim: int | None = None) -> Column:
 
 
 def l2(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Squared distance; there is no square root."""
+    """Squared distance; there is no square root. Where no dimension is given, a shorter vector goes on with zeros."""
     if dim and dim <= UNROLL:
         return reduce(add, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)])
-    return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
+    diff = lambda x, y: F.coalesce(x, F.lit(ZERO)) - F.coalesce(y, F.lit(ZERO))
+    return total(F.zip_with(a, b, lambda x, y: diff(x, y) * diff(x, y)))
 
 
 def residual(a: Column, b: Column) -> Column:

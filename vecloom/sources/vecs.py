@@ -81,12 +81,14 @@ class VecsReader(DataSourceReader):
             step = max(1, SPLIT // record) * record
             out += [Split(path, i, min(size, i + step), first + i // record) for i in range(0, size, step)]
             first += size // record
-        return out
+        return out or [Split(self.paths[0] if self.paths else "", 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        with open(split.path, "rb") as f:
-            f.seek(split.begin)
-            data = f.read(split.end - split.begin)
+        data = b""
+        if split.end > split.begin:
+            with open(split.path, "rb") as f:
+                f.seek(split.begin)
+                data = f.read(split.end - split.begin)
         rows = list(decode(data, self.dtype, self.tolerant))
         if not self.ragged and not self.tolerant and any(len(r) != len(rows[0]) for r in rows):
             raise ValueError(f"{split.path}: records of several lengths; set ragged")
