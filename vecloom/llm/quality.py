@@ -72,7 +72,7 @@ class Network:
 
     def combine(self, u: np.ndarray, head: np.ndarray) -> np.ndarray:
         n = np.diff(np.append(head, len(u)))[:, None]
-        return np.concatenate([np.maximum.reduceat(u, head), np.add.reduceat(u, head) / n], axis=1).astype(np.float32)
+        return np.concatenate([np.maximum.reduceat(u, head), np.add.reduceat(u, head) / n], axis=1).astype(u.dtype)
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A probability for each text."""
