@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import keyed, public_id, settle, shuffle_partitions, strings
+from vecloom.llm.common import keyed, settle, shuffle_partitions, slabs, strings
 
 #: [\x20\x09-\x0D] in UTF-8 bytes.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -45,7 +45,8 @@ def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             data, at = strings(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(count_words(data, at))], ["doc_id", "source", "key", "size"])
+            n = np.concatenate([count_words(data, at[i : j + 1]) for i, j in slabs(at, 1 << 20)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n)], ["doc_id", "source", "key", "size"])
 
 
 def ranked(df: DataFrame, by: str) -> DataFrame:
