@@ -9,7 +9,7 @@ from vecloom.llm import quality
 from vecloom.llm.common import documents, settle
 from vecloom.llm.decontaminate import drop_contaminated
 from vecloom.llm.mixing import mixed
-from vecloom.llm.simhash import keep_first
+from vecloom.llm.simhash import keep_first, similar
 from vecloom.llm.token_files import tokens_of
 
 
@@ -19,8 +19,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return keep_first(docs)
+    """One document of each group of texts whose five-word shingles are 0.8 alike."""
+    return keep_first(docs, similar(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from llm.helpers import awkward, frame
+from llm.helpers import awkward, frame, prose
 
 from vecloom.llm import line_dedup, simhash, substring_dedup
 from vecloom.llm.common import NULL_ID, public_id
@@ -166,8 +166,38 @@ def test_chain_of_components(spark):
 
 def test_first_of_each_component_stays(spark):
     texts = awkward()
-    kept = simhash.keep_first(frame(spark, texts))
+    docs = frame(spark, texts)
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
     assert kept.columns == frame(spark, texts).columns
     components = {c for _, _, c in brute_components(texts)}
     assert sorted(NULL_ID if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(components)
     assert simhash.near_duplicates(frame(spark, texts)).select(public_id()).count() == len(texts)
+
+
+def test_similar_texts_are_one_group(spark):
+    import random
+
+    r, base = random.Random(6), prose(21, 12, 400)
+    base = [b + " " + " ".join(prose(40 + k, 12, 40)) for k, b in enumerate(base)]
+    texts = [(10 * k, b) for k, b in enumerate(base)]
+    for k, b in enumerate(base):
+        w = b.split()
+        for at in r.sample(range(len(w)), len(w) // 100):
+            w[at] = "changed"
+        texts += [(10 * k + 1, " ".join(w)), (10 * k + 2, b.upper().replace(" ", "  "))]
+    got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, texts)).collect()}
+    assert sum(got[10 * k + 1] == 10 * k for k in range(12)) >= 11 and all(got[10 * k + 2] == 10 * k == got[10 * k] for k in range(12))
+    odd = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one")]
+    got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, odd)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, NULL_ID: 4}
+    assert simhash.similar(frame(spark, [])).count() == 0
+
+
+def test_many_prints_agree_with_counting_bits():
+    for text in (b"", b"a", b"a b c d e f g h i j", b"x " * 700):
+        w = text.split()
+        for n, size in ((3, 2), (2, 5)):
+            prints = simhash.many_prints(text, size, n)
+            assert len(prints) == n and (any(prints) == bool(w)) and prints == simhash.many_prints(text.upper(), size, n)
+    a, b = (simhash.many_prints(t, 2, 8) for t in (b"w" * 3 + b" one two three", b"other words entirely here"))
+    assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)) > 150

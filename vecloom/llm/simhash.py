@@ -22,6 +22,7 @@ from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, strin
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 SHINGLES = 1 << 16
+PROOFS = 4
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> bytes:
@@ -39,12 +40,36 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> bytes:
     count, digest = np.zeros(BITS, np.int64), xxhash.xxh64_digest
     for i in range(0, len(begin), SHINGLES):
         hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(begin[i : i + SHINGLES], end[i : i + SHINGLES], strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
-        full = len(bits) // 255 * 255
-        count += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
+        count += bit_counts(np.frombuffer(hashes, np.uint8))
     return np.packbits(2 * count > len(begin)).tobytes()
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of these 8-byte hashes have each bit."""
+    bits = np.unpackbits(hashes).reshape(-1, BITS)
+    full = len(bits) // 255 * 255
+    return bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
+
+
+def many_prints(text: bytes, words: int, n: int, seed: int = 42) -> list[int]:
+    """n fingerprints of a text, each of hashes made from the shingles' XXH64 by another mixing."""
+    found = text.lower().split()
+    if not found:
+        return [0] * n
+    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    start = np.cumsum(size + 1) - size - 1
+    k = max(1, len(found) - words + 1)
+    begin, end = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist()
+    count, digest = np.zeros((n, BITS), np.int64), xxhash.xxh64_digest
+    for i in range(0, k, SHINGLES):
+        h = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(begin[i : i + SHINGLES], end[i : i + SHINGLES], strict=True)]), np.uint64)
+        for s in range(n):
+            g = (h ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            g = (g ^ (g >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            count[s] += bit_counts((g ^ (g >> np.uint64(29))).view(np.uint8))
+    return np.packbits(2 * count > k, axis=1).view(">i8").ravel().tolist()
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id (null: the largest), key (tells rows of one doc_id apart) and the fingerprint of each row."""
 
@@ -85,11 +110,13 @@ def linked(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def forest(prints: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among these fingerprints."""
+def forest(prints: np.ndarray, ids: np.ndarray, distance: int, proof: list[np.ndarray] = (), most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among these fingerprints; with proof, only of pairs whose proofs differ in `most` bits or fewer."""
     near = np.zeros((len(prints), len(prints)), bool)
     for i in range(0, len(prints), 256):
         near[i : i + 256] = np.bitwise_count(prints[i : i + 256, None] ^ prints[None, :]) <= distance
+        if proof:
+            near[i : i + 256] &= sum(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) for x in proof) <= most
     some = np.flatnonzero(near.sum(axis=1) > 1)
     if not len(some):
         return ids[:0], ids[:0]
@@ -99,14 +126,14 @@ def forest(prints: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarr
     return ids[order][other], ids[order][root[other]]
 
 
-def leaves(distance: int):
+def leaves(distance: int, proofs: int, most: int):
     """Compare the cells of a partition that is sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for last, b in ends(batches):
             if b is not None and b.num_rows:
-                t = [np.array(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3)]
+                t = [np.array(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3 + proofs)]
                 kept = t if kept is None else [np.concatenate(x) for x in zip(kept, t, strict=True)]
             if kept is None:
                 continue
@@ -115,7 +142,7 @@ def leaves(distance: int):
             one, two = [], []
             for i, j in zip(edge[:whole], edge[1 : whole + 1], strict=True):
                 if j - i > 1:
-                    x, y = forest(kept[1][i:j].view(np.uint64), kept[2][i:j], distance)
+                    x, y = forest(kept[1][i:j].view(np.uint64), kept[2][i:j], distance, [p[i:j].view(np.uint64) for p in kept[3:]], most)
                     one.append(x)
                     two.append(y)
             kept = [x[edge[whole] :] for x in kept]
@@ -131,10 +158,11 @@ def ends(items: Iterator) -> Iterator[tuple[bool, object]]:
     yield True, None
 
 
-def near_links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """u, v: links between distinct fingerprints, named by `first`, that connect all within the distance.
+def near_links(points: DataFrame, distance: int = DISTANCE, proof: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """u, v: links between fingerprints, named by `first`, that connect all within the distance.
 
-    points: `print` and `first`, each print once. Cells are cut again while any holds more than LIMIT.
+    points: `print` and `first`, each first once. Cells are cut again while any holds more than LIMIT. With
+    proof, columns of more fingerprints, a pair is linked only if those differ in `most` bits or fewer.
     """
     if distance >= PARTS:
         raise ValueError(f"{PARTS} parts allow a distance below {PARTS}")
@@ -148,18 +176,17 @@ def near_links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for k, part in enumerate(parts(left)):
                 names[(*track, k)] = [b for b in left if b not in part]
                 rows.append(F.when(F.col("track") == at, F.struct(F.lit(at * PARTS + k).alias("track"), F.xxhash64("cell", F.lit(k), cell("print", part, width)).alias("cell"))))
-        cut = heavy.select("print", "first", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.cell", "print", "first", "x.track")
+        cut = heavy.select("print", "first", *proof, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.cell", "print", "first", *proof, "x.track")
         tracks, level = names, level + 1
-        cut = settle(cut)
         counts = cut.groupBy("cell").count()
         large = settle(counts.where(F.col("count") > LIMIT).select("cell")) if level < 4 else None
         any_large = large is not None and not large.isEmpty()
         small = cut.join(large, "cell", "left_anti") if any_large else cut
-        found = small.select("cell", "print", "first").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(leaves(distance), "u long, v long")
+        found = small.select("cell", "print", "first", *proof).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(leaves(distance, len(proof), most), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not any_large:
             return out.distinct()
-        heavy = cut.join(large, "cell", "left_semi").select("print", "first", "cell", "track")
+        heavy = cut.join(large, "cell", "left_semi").select("print", "first", *proof, "cell", "track")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,9 +219,50 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
     return prints.join(named, "print").select("doc_id", "key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component (by id, then a hash of the text); of rows with one id and text, one."""
-    first = near_duplicates(docs, words, distance).groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, tries: int = 8, try_words: int = 2, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, key and component_id of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
+
+    So far apart, one fingerprint seldom differs in `distance` bits only. So there are `tries` fingerprints of
+    shorter shingles, which change less, each with a join of its own; a pair that one of them finds is linked if
+    PROOFS fingerprints of the `words`-word shingles differ in no more bits than five in six pairs so alike do.
+    Texts without words are alike. Null doc_id: the largest id. Empty table: no rows.
+    """
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
+    part, bits = np.arccos(cosine) / np.pi, PROOFS * BITS
+    most = round(bits * part + (bits * part * (1 - part)) ** 0.5)
+    names = [f"p{i}" for i in range(tries)] + [f"w{i}" for i in range(PROOFS)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = strings(b.column(2))
+            rows = []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                text = data[i:j].tobytes()
+                rows.append(many_prints(text, try_words, tries) + many_prints(text, words, PROOFS))
+            prints = np.array(rows, np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names)))], ["doc_id", "key", *names])
+
+    rows = keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    prints = settle(rows.mapInArrow(of, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names)))
+    same = ["p0", *names[tries:]]  # of texts with these in common, one is compared
+    points = settle(prints.groupBy(*same).agg(F.min("doc_id").alias("first"), *[F.min_by(n, "doc_id").alias(n) for n in names[1:tries]]).dropDuplicates(["first"]))
+    links = None
+    for i in range(tries):
+        found = settle(near_links(points.select(F.col(f"p{i}").alias("print"), "first", *names[tries:]), distance, tuple(names[tries:]), most))
+        links = found if links is None else links.unionByName(found)
+    roots = components(links)
+    lead = prints.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    named = lead.join(roots, lead["first"] == roots["node"], "left").select(*same, F.coalesce("root", "first").alias("component_id"))
+    return prints.join(named, same).select("doc_id", "key", "component_id")
+
+
+def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their component (by id, then a hash of the text); of rows with one id and text, one.
+
+    groups: doc_id, key and component_id of each row (near_duplicates or similar); by default similar(docs).
+    """
+    groups = similar(docs) if groups is None else groups
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
     columns = docs.columns
     own = docs.select(
         F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kept_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kept_key"),
