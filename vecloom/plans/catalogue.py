@@ -7,7 +7,6 @@ engines compute the same numbers. Distances are rounded to six places.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +20,7 @@ from vecloom.operators import cluster, evaluate
 from vecloom.operators import search as S
 from vecloom.operators.index import Index, build_index
 from vecloom.sources import vecs
+from vecloom.sources.folders import mounted, shared_folder
 
 DIM, PROBE, K, N_QUERIES = 64, 3, 10, 20
 
@@ -297,14 +297,10 @@ def ann_search_heuristic(spark, d):
     return found(S.search(the_index(spark, d), the_queries(spark, d), PROBE, K, "heuristic"))
 
 
-def work_folder() -> str:
-    return tempfile.mkdtemp(prefix="vecloom-")
-
-
 @query("ann_search_disk", f"with {ALL}, {TWO} select q_id, vec_id, round(dist, 6) + 0.0 as dist, rank::int as rank from two")
 def ann_search_disk(spark, d):
     """Through a saved index: a search reads the codes of the probed clusters, then the vectors of what is left."""
-    path = work_folder()
+    path = shared_folder(spark)
     the_index(spark, d).save(path)
     return found(S.search(Index.load(spark, path), the_queries(spark, d), PROBE, K))
 
@@ -390,7 +386,7 @@ ROUND_TRIP = "select (row_number() over (order by vec_id) - 1)::bigint as ordina
 
 @query("fvecs_roundtrip", ROUND_TRIP)
 def fvecs_roundtrip(spark, d):
-    path = os.path.join(work_folder(), "base")
+    path = os.path.join(mounted(shared_folder(spark)), "base")
     vecs.write_vecs(embeddings(spark, d), path, "embedding", order="vec_id")
     v = V.vector(F.col("vec"))
     return vecs.read_vecs(spark, path).select("ordinal", six(V.total(v), "total"), F.size("vec").alias("size"), F.col("vec")[63].alias("last"))
@@ -398,7 +394,7 @@ def fvecs_roundtrip(spark, d):
 
 @query("ivecs_roundtrip", f"with {EMB}, {QUE}, {TRUE_} select (row_number() over (order by q_id) - 1)::bigint as ordinal, string_agg(vec_id::varchar, ',' order by rank) as ids from tru group by q_id")
 def ivecs_roundtrip(spark, d):
-    path = os.path.join(work_folder(), "truth")
+    path = os.path.join(mounted(shared_folder(spark)), "truth")
     truth = evaluate.truth_lists(S.knn_exact(embeddings(spark, d), the_queries(spark, d), K, DIM))
     vecs.write_vecs(truth.withColumn("ids", F.col("ids").cast("array<int>")), path, "ids", "i32", "q_id")
     return vecs.read_vecs(spark, path, "i32").select("ordinal", F.array_join("vec", ",").alias("ids"))
@@ -406,14 +402,14 @@ def ivecs_roundtrip(spark, d):
 
 @query("u64vecs_roundtrip", f"with {EMB} select (row_number() over (order by vec_id) - 1)::bigint as ordinal, {BITS.format(x='v', cond=' > 0')} as code from e")
 def u64vecs_roundtrip(spark, d):
-    path = os.path.join(work_folder(), "codes")
+    path = os.path.join(mounted(shared_folder(spark)), "codes")
     vecs.write_vecs(doubles(spark, d).select("vec_id", V.sign_code(F.col("v"), DIM).alias("code")), path, "code", "u64", "vec_id")
     return vecs.read_vecs(spark, path, "u64").select("ordinal", F.col("vec")[0].alias("code"))
 
 
 @query("index_json_roundtrip", FACTOR_SQL)
 def index_json_roundtrip(spark, d):
-    path = work_folder()
+    path = shared_folder(spark)
     the_index(spark, d).save_json(path)
     return Index.load_json(spark, path).codes.select("vec_id", "cluster_id", F.col("code")[0].alias("code"), *map(six, FACTORS))
 
