@@ -27,8 +27,8 @@ from vecloom.llm.common import keyed, public_id, shared_dir, shuffle_partitions,
 
 SEEK_HEAD, SEEK_FOOT, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
-LEVEL = 3
-WORDS_KEPT, SLAB = 1_000_000, 1 << 20
+LEVEL = 1
+WORDS_KEPT, SLAB = 800_000, 1 << 20
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
