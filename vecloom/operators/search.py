@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,17 @@ def candidates(index: Index, probed: DataFrame) -> DataFrame:
     )
 
 
-def exact(some: DataFrame, base: DataFrame, queries: DataFrame, dim: int | None = None) -> DataFrame:
-    """Candidates with dist, from the vectors as they were. Only now are vectors read, of the candidates' clusters."""
+#: Rows of candidates that are sent to all executors, so that the vectors they ask for stay where they are.
+SENT = 1 << 20
+
+
+def exact(some: DataFrame, base: DataFrame, queries: DataFrame, dim: int | None = None, n: int | None = None) -> DataFrame:
+    """Candidates with dist, from the vectors as they were. Only now are vectors read, of the candidates' clusters.
+
+    n: how many candidates there are, where that is known. Up to SENT of them, the vectors aren't shuffled.
+    """
+    if n is not None and n <= SENT:
+        some = F.broadcast(some)
     named = queries.select("q_id", V.vector(F.col("qv")).alias("_y"))
     v = base.select("cluster_id", "vec_id", F.col("embedding").alias("_x"))
     return some.join(v, ["cluster_id", "vec_id"]).join(named, "q_id").withColumn("dist", V.l2(V.vector(F.col("_x")), F.col("_y"), dim)).drop("_x", "_y")
@@ -81,12 +92,16 @@ def exact(some: DataFrame, base: DataFrame, queries: DataFrame, dim: int | None
 def two_stage(scored: DataFrame, base: DataFrame, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
     """The k nearest by exact distance of those whose bound isn't above the worst of the k with the least bounds.
 
-    Doesn't depend on the order of rows. A query with fewer than k candidates keeps them all.
+    Doesn't depend on the order of rows. A query with fewer than k candidates keeps them all. The candidates that
+    are left are counted, to choose the join; they are kept on the executors' disks as long as the result is in use.
     """
-    near = exact(top_k(scored, k, "rough", "vec_id").drop("rank"), base, queries, dim)
+    first = top_k(scored, k, "rough", "vec_id").drop("rank")
+    near = exact(first, base, queries, dim, queries.count() * k)
     limit = near.groupBy("q_id").agg(F.when(F.count("*") == k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("limit"))
-    left = scored.join(limit, "q_id").where("rough <= limit")
-    return top_k(exact(left, base, queries, dim), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
+    left = scored.join(limit, "q_id").where("rough <= limit").persist(StorageLevel.DISK_ONLY)
+    out = top_k(exact(left, base, queries, dim, left.count()), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
+    weakref.finalize(out, left.unpersist).atexit = False
+    return out
 
 
 class Heap:
