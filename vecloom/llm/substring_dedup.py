@@ -25,7 +25,7 @@ from vecloom.llm.common import in_blocks, keyed, n_blocks, slabs, strings
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
-HOT, PIECE, SLAB, CHUNK, SHARD_BYTES = 1 << 14, 64, 1 << 20, 1 << 20, 16 << 20
+HOT, PIECE, SLAB, CHUNK, SHARD_BYTES = 1 << 14, 64, 1 << 19, 1 << 19, 16 << 20
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 U32, U64 = np.uint32, np.uint64
 
