@@ -19,13 +19,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
 from vecloom.llm.common import in_blocks, keyed, n_blocks, slabs, strings
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
-HOT, PIECE, SLAB, CHUNK, SHARD_BYTES = 1 << 14, 64, 1 << 19, 1 << 19, 16 << 20
+HOT, PIECE, SLAB, CHUNK, SHARD_BYTES = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 U32, U64 = np.uint32, np.uint64
 
@@ -114,6 +115,17 @@ def cut(values: np.ndarray, edge: np.ndarray) -> pa.Array:
     return binary([values[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)])
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """Values compressed, for the shuffle."""
+    z = zstandard.ZstdCompressor(level=1)
+    return binary([z.compress(x.as_py()) for x in column])
+
+
+def unpacked(column: pa.ChunkedArray) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x.as_py()) for x in column]
+
+
 def edges(sorted_: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins, and the end."""
     return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, np.int64)
@@ -202,9 +214,9 @@ class Dedup:
         local = which_ - e[np.searchsorted(e, which_, "right") - 1] if len(which_) else which_
         return pack(
             shard=shard[by][e[:-1]], block=np.full(len(e) - 1, table.column("block")[0].as_py(), np.int32),
-            text=binary([b"".join(texts[k] for k in by[i:j].tolist()) for i, j in zip(e[:-1], e[1:], strict=True)]),
-            sizes=cut(size[by], e), keys=cut(keys[by], e),
-            which=cut(local.astype(U32), f), row=cut(row.astype(U32), f), at=cut((at_ - edge[row]).astype(U32), f), doc=cut(doc[row], f),
+            text=packed(binary([b"".join(texts[k] for k in by[i:j].tolist()) for i, j in zip(e[:-1], e[1:], strict=True)])),
+            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)),
+            which=packed(cut(local.astype(U32), f)), row=packed(cut(row.astype(U32), f)), at=packed(cut((at_ - edge[row]).astype(U32), f)), doc=packed(cut(doc[row], f)),
         )
 
     def smallest(self, texts: list[bytes], docs: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
@@ -225,14 +237,14 @@ class Dedup:
 
     def marks(self, table: pa.Table) -> pa.Table:
         """Of a shard's stretches the parts that a smaller document has, by block."""
-        column = {c: table.column(c).to_pylist() for c in ("text", "sizes", "keys", "which", "row", "at", "doc", "block")}
+        column = {c: unpacked(table.column(c)) for c in ("text", "sizes", "keys", "which", "row", "at", "doc")}
         index: dict[tuple[int, bytes], int] = {}
         which = []
         for text, sizes, keys, local in zip(*(column[c] for c in ("text", "sizes", "keys", "which")), strict=True):
             stop = np.cumsum(np.frombuffer(sizes, U32), dtype=np.int64).tolist()
             ids = [index.setdefault((k, text[i:j]), len(index)) for k, i, j in zip(np.frombuffer(keys, U64).tolist(), [0, *stop], stop)]
             which.append(np.array(ids, np.int64)[np.frombuffer(local, U32)])
-        block = np.repeat(np.array(column["block"], np.int32), list(map(len, which)))
+        block = np.repeat(np.asarray(table.column("block").combine_chunks()), list(map(len, which)))
         which, row, first, doc = np.concatenate(which), join(column["row"], U32), join(column["at"], U32).astype(np.int64), join(column["doc"], np.int64)
         texts, keys = [x for _, x in index], np.fromiter((k for k, _ in index), U64, len(index))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
