@@ -22,7 +22,7 @@ from vecloom.operators.index import Index, build_index
 from vecloom.sources import vecs
 from vecloom.sources.folders import mounted, shared_folder
 
-DIM, PROBE, K, N_QUERIES = 64, 3, 10, 20
+DIM, PROBE, K, N_QUERIES, MOST_LABELS = 64, 3, 10, 20, 4096
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,11 @@ def the_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def the_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.centroid_means(embeddings(spark, sf_dir), "label", "embedding", DIM)
+    means = cluster.centroid_means(embeddings(spark, sf_dir), "label", "embedding", DIM)
+    rows = means.limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        return means
+    return spark.createDataFrame(rows, means.schema).coalesce(1)  # few labels: they are read many times below
 
 
 def the_index(spark: SparkSession, sf_dir: str, turn: np.ndarray | None = None) -> Index:
