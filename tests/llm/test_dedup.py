@@ -201,3 +201,34 @@ def test_many_prints_agree_with_counting_bits():
             assert len(prints) == n and (any(prints) == bool(w)) and prints == simhash.many_prints(text.upper(), size, n)
     a, b = (simhash.many_prints(t, 2, 8) for t in (b"w" * 3 + b" one two three", b"other words entirely here"))
     assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)) > 150
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_contiguous_edits_at_the_limit(spark):
+    import random
+
+    r, texts, pairs = random.Random(8), [], {}
+    for k in range(40):
+        word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+        w = [word() for _ in range(204)]  # 200 shingles; 50 more: 200 / 250 = 0.8, one more: below
+        over = k % 2
+        other = w + [word() for _ in range(50 + over)]
+        texts += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(other))]
+        a, b = five_words(texts[-2][1]), five_words(texts[-1][1])
+        pairs[k] = len(a & b) / len(a | b) >= 0.8
+        assert pairs[k] == (not over)
+    got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, texts)).collect()}
+    assert {k: got[10 * k + 1] == got[10 * k] for k in pairs} == pairs
+
+
+def test_pairs_of_one_band_that_its_first_does_not_link(spark, monkeypatch):
+    w = [f"w{i}" for i in range(1000)]
+    texts = [(1, w[:600] + w[800:]), (2, w[:800]), (3, w[:810]), (4, w[100:600] + w[800:])]
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles: list(range(simhash.BANDS)))
+    monkeypatch.setattr(simhash, "LIMIT", 2)
+    got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, [(d, " ".join(x)) for d, x in texts])).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 1}

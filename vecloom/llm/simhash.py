@@ -15,14 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, strings
+from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, slabs, strings
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 SHINGLES = 1 << 16
-PROOFS = 4
+BANDS, ROWS = 24, 5
+#: What each of the minima mixes the shingles' hashes with: a mask and an odd factor.
+MIX = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> bytes:
@@ -219,41 +221,110 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
     return prints.join(named, "print").select("doc_id", "key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, tries: int = 8, try_words: int = 2, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, key and component_id of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
+def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of a text's shingles, each once, sorted. Fewer words than a shingle: the whole sequence; no words: none."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    start = np.cumsum(size + 1) - size - 1
+    k = max(1, len(found) - words + 1)
+    begin, end, digest = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, k))
 
-    So far apart, one fingerprint seldom differs in `distance` bits only. So there are `tries` fingerprints of
-    shorter shingles, which change less, each with a join of its own; a pair that one of them finds is linked if
-    PROOFS fingerprints of the `words`-word shingles differ in no more bits than five in six pairs so alike do.
-    Texts without words are alike. Null doc_id: the largest id. Empty table: no rows.
-    """
-    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
-    part, bits = np.arccos(cosine) / np.pi, PROOFS * BITS
-    most = round(bits * part + (bits * part * (1 - part)) ** 0.5)
-    names = [f"p{i}" for i in range(tries)] + [f"w{i}" for i in range(PROOFS)]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A hash of each band's ROWS least values, each under another mixing. Sets alike to J share a band's with chance J ** ROWS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        g = (shingles[None, i : i + 1024] ^ MIX[:, :1]) * MIX[:, 1:]
+        least = np.minimum(least, (g ^ (g >> np.uint64(32))).min(axis=1))
+    raw = least.tobytes()
+    return [xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)]
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of unsigned numbers as one column of lists."""
+    flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
+def sketches(words: int):
+    """Of each text: two hashes and the size of its set of shingles, and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = strings(b.column(2))
-            rows = []
+            names, size, bands = [], [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                text = data[i:j].tobytes()
-                rows.append(many_prints(text, try_words, tries) + many_prints(text, words, PROOFS))
-            prints = np.array(rows, np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names)))], ["doc_id", "key", *names])
+                x = shingle_set(data[i:j].tobytes(), words)
+                names.append(xxhash.xxh3_128_digest(x.tobytes()))
+                size.append(len(x))
+                bands.append(np.array(band_keys(x) if len(x) else [], np.uint64))
+            s = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(size, pa.int64()), lists(bands)], ["doc_id", "key", "s1", "s2", "n", "bands"])
+
+    return run
 
+
+def sets_of(words: int):
+    """The set of shingles of each text, in batches of about 4 MB of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = strings(b.column(2))
+            for i, j in slabs(at, 4 << 20):
+                rows = [shingle_set(data[x:y].tobytes(), words) for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), lists(rows)], ["doc_id", "key", "shingles"])
+
+    return run
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs u, v whose sets have this Jaccard similarity, counted exactly."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return pairs.join(a, "u").join(b, "v").where(common / (F.size("u_set") + F.size("v_set") - common) >= similarity).select("u", "v")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, key and component_id of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
+
+    Texts with one set of shingles are one node, named by the least (doc_id, key). Candidates share one of BANDS
+    bands of ROWS minima (MinHash); whatever the edit, a pair at 0.8 shares none with chance (1 - 0.8 ** 5) ** 24,
+    under 1 in 10,000. Each candidate pair is compared by its sets of shingles (as 64-bit hashes): first each band's
+    first node with its others, then all pairs of one band that these links don't connect. So no estimate decides.
+    Component: the least (doc_id, key) in it. Texts without words are alike. Null doc_id: the largest id. Empty table: no rows.
+    """
     rows = keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    prints = settle(rows.mapInArrow(of, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names)))
-    same = ["p0", *names[tries:]]  # of texts with these in common, one is compared
-    points = settle(prints.groupBy(*same).agg(F.min("doc_id").alias("first"), *[F.min_by(n, "doc_id").alias(n) for n in names[1:tries]]).dropDuplicates(["first"]))
-    links = None
-    for i in range(tries):
-        found = settle(near_links(points.select(F.col(f"p{i}").alias("print"), "first", *names[tries:]), distance, tuple(names[tries:]), most))
-        links = found if links is None else links.unionByName(found)
+    prints = settle(rows.mapInArrow(sketches(words), "doc_id long, key long, s1 long, s2 long, n long, bands array<long>"))
+    name = F.struct("doc_id", "key")
+    nodes = settle(prints.groupBy("s1", "s2").agg(F.min(name).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    of_band = Window.partitionBy("h")
+    cells = nodes.select("node", "n", F.explode("bands").alias("h"))
+    cells = settle(cells.withColumns({"first": F.min(F.struct("node", "n")).over(of_band), "members": F.count("*").over(of_band)}).where("members > 1"))
+    some = cells.select("node.*").distinct()
+    texts = rows.join(some, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    sets = settle(texts.mapInArrow(sets_of(words), "doc_id long, key long, shingles array<long>").select(name.alias("node"), "shingles"))
+
+    def sized(a: str, b: str) -> Column:  # sets of other sizes can't be so alike
+        return F.least(a, b) / F.greatest(a, b) >= similarity
+
+    tried = settle(cells.where(F.col("node") != F.col("first.node")).where(sized("first.n", "n")).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct())
+    links = settle(alike(tried, sets, similarity))
     roots = components(links)
-    lead = prints.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    named = lead.join(roots, lead["first"] == roots["node"], "left").select(*same, F.coalesce("root", "first").alias("component_id"))
-    return prints.join(named, same).select("doc_id", "key", "component_id")
+
+    joined = cells.join(roots, "node", "left").select("h", "node", "n", "members", F.coalesce("root", "node").alias("root"))
+    apart = joined.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    left = settle(joined.join(apart, "h", "left_semi").withColumn("salts", F.ceil(F.col("members") / LIMIT).cast("int")))
+    a = left.select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "root")], F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    b = left.select("h", "node", "n", "root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rest = a.join(b, ["h", "salt"]).where("a_node < node and a_root <> root").where(sized("a_n", "n")).select(F.col("a_node").alias("u"), F.col("node").alias("v")).distinct()
+    more = settle(alike(settle(rest.join(tried, ["u", "v"], "left_anti")), sets, similarity))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    named = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    return prints.join(named, ["s1", "s2"]).select("doc_id", "key", F.col("root.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
