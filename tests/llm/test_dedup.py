@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from llm.helpers import awkward, frame, prose
 
+import corpus_pipeline
 from vecloom.llm import line_dedup, simhash, substring_dedup
 from vecloom.llm.common import NULL_ID, public_id
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
@@ -232,3 +233,19 @@ def test_pairs_of_one_band_that_its_first_does_not_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIMIT", 2)
     got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, [(d, " ".join(x)) for d, x in texts])).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    a, b, c, d = (" ".join(prose(60 + k, 4, 100)) for k in range(4))
+    texts = [(None, a), (None, b), (None, c), (5, a), (7, b), (7, d), (2, d.upper()), (None, None), (8, a + " end"), (None, b + " end")]
+    kept = corpus_pipeline.distinct(spark, frame(spark, texts), "")
+    want = [(5, a), (7, b), (None, c), (2, d.upper()), (None, None)]
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_links_of_one_text_are_not_those_of_another_with_its_id(spark):
+    a, b = (" ".join(prose(70 + k, 4, 100)) for k in range(2))
+    bits = lambda x, y: (int.from_bytes(simhash.fingerprint(x.encode())) ^ int.from_bytes(simhash.fingerprint(y.encode()))).bit_count()
+    near = next(t for t in (f"{a} end {k}" for k in range(500)) if 1 <= bits(a, t) <= 3)
+    got = of(simhash.near_duplicates(frame(spark, [(None, a), (None, b), (2, near)])), "doc_id", "component_id")
+    assert bits(a, b) > 3 and got == [(2, 2), (NULL_ID, 2), (NULL_ID, NULL_ID)]

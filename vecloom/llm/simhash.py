@@ -215,9 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
     fingerprint are one node, so copies cost nothing. Null doc_id: the largest id. Empty table: no rows.
     """
     prints = settle(fingerprints(docs, words, seed))
-    points = settle(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(points, distance))
-    named = points.join(roots, points["first"] == roots["node"], "left").select("print", F.coalesce("root", "first").alias("component_id"))
+    points = settle(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(points.select("print", F.col("print").alias("first")), distance))
+    rooted = settle(points.join(roots, points["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -288,7 +289,7 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id, key and component_id of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
+    """doc_id, key, component_id and component_key of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
 
     Texts with one set of shingles are one node, named by the least (doc_id, key). Candidates share one of BANDS
     bands of ROWS minima (MinHash); whatever the edit, a pair at 0.8 shares none with chance (1 - 0.8 ** 5) ** 24,
@@ -324,16 +325,17 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    return prints.join(named, ["s1", "s2"]).select("doc_id", "key", F.col("root.doc_id").alias("component_id"))
+    return prints.join(named, ["s1", "s2"]).select("doc_id", "key", F.col("root.doc_id").alias("component_id"), F.col("root.key").alias("component_key"))
 
 
 def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all columns, that are the first of their component (by id, then a hash of the text); of rows with one id and text, one.
 
-    groups: doc_id, key and component_id of each row (near_duplicates or similar); by default similar(docs).
+    groups: of each row doc_id, key, component_id and, where components of one id are told apart, component_key
+    (near_duplicates, without it, or similar); by default similar(docs).
     """
     groups = similar(docs) if groups is None else groups
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
+    first = groups.groupBy(*[c for c in ("component_id", "component_key") if c in groups.columns]).agg(F.min(F.struct("doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
     columns = docs.columns
     own = docs.select(
         F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kept_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kept_key"),
