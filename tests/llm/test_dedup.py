@@ -249,3 +249,28 @@ def test_links_of_one_text_are_not_those_of_another_with_its_id(spark):
     near = next(t for t in (f"{a} end {k}" for k in range(500)) if 1 <= bits(a, t) <= 3)
     got = of(simhash.near_duplicates(frame(spark, [(None, a), (None, b), (2, near)])), "doc_id", "component_id")
     assert bits(a, b) > 3 and got == [(2, 2), (NULL_ID, 2), (NULL_ID, NULL_ID)]
+
+
+def test_cells_that_stay_large_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    prints = np.unique(rng.integers(0, 1 << 63, 30)[:, None] ^ (np.int64(1) << rng.integers(0, 40, (30, 3)))).tolist()
+    points = [(x, i) for i, x in enumerate(prints)]
+    for name, value in (("LIMIT", 0), ("LEVELS", 1), ("BLOCK", 2), ("STRIPE", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(spark.createDataFrame(points, "print long, first long"))).collect()}
+    u, label = np.array(prints, np.int64).view(np.uint64), np.arange(len(prints))
+    for _ in range(len(prints)):
+        label = np.array([label[np.bitwise_count(u ^ x) <= 3].min() for x in u])
+    assert {i: int(x) for i, x in enumerate(label) if x != i} == got and got
+
+
+def test_a_large_cell_takes_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    base = np.random.default_rng(5).integers(0, 1 << 63, dtype=np.uint64)
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    prints = np.unique(base ^ one[:, None, None] ^ one[None, :, None] ^ one[None, None, :16])[:6000]
+    x, y = simhash.forest(prints, np.arange(len(prints)), 3)
+    assert len(x) == len(prints) - 1 and (y == 0).all() and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()

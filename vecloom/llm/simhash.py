@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, slabs, strings
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
+LEVELS, BLOCK, STRIPE = 4, 8192, 128
 SHINGLES = 1 << 16
 BANDS, ROWS = 24, 5
 #: What each of the minima mixes the shingles' hashes with: a mask and an odd factor.
@@ -100,42 +101,36 @@ def cell(name: str, bits: list[int], width: int) -> Column:
     return out
 
 
-def linked(adjacent: np.ndarray) -> np.ndarray:
-    """The smallest index that each can reach."""
-    label = np.arange(len(adjacent))
-    while True:
-        new = np.where(adjacent, label, len(label)).min(axis=1)
-        new = np.minimum(new, label)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def forest(prints: np.ndarray, ids: np.ndarray, distance: int, proof: list[np.ndarray] = (), most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among these fingerprints; with proof, only of pairs whose proofs differ in `most` bits or fewer."""
-    near = np.zeros((len(prints), len(prints)), bool)
-    for i in range(0, len(prints), 256):
-        near[i : i + 256] = np.bitwise_count(prints[i : i + 256, None] ^ prints[None, :]) <= distance
-        if proof:
-            near[i : i + 256] &= sum(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) for x in proof) <= most
-    some = np.flatnonzero(near.sum(axis=1) > 1)
-    if not len(some):
-        return ids[:0], ids[:0]
-    order = some[np.argsort(ids[some], kind="stable")]
-    root = linked(near[np.ix_(order, order)])
-    other = root != np.arange(len(root))
-    return ids[order][other], ids[order][root[other]]
-
-
-def leaves(distance: int, proofs: int, most: int):
+def forest(prints: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among these fingerprints, in stripes of rows; no matrix of all pairs is made."""
+    order = np.argsort(ids, kind="stable")
+    prints, ids = prints[order], ids[order]
+    label, none = np.arange(len(ids)), len(ids)
+    for i in range(0, len(ids), STRIPE):
+        near = np.bitwise_count(prints[i : i + STRIPE, None] ^ prints[None, :]) <= distance
+        near = near[near.sum(axis=1) > 1]
+        while len(near):
+            row = np.where(near, label, none).min(axis=1)
+            column = np.minimum(label, np.where(near, row[:, None], none).min(axis=0))
+            if (column == label).all():
+                break
+            root = np.arange(none)
+            np.minimum.at(root, label, column)
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+    other = label != np.arange(none)
+    return ids[other], ids[label[other]]
+
+
+def leaves(distance: int):
     """Compare the cells of a partition that is sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for last, b in ends(batches):
             if b is not None and b.num_rows:
-                t = [np.array(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3 + proofs)]
+                t = [np.array(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3)]
                 kept = t if kept is None else [np.concatenate(x) for x in zip(kept, t, strict=True)]
             if kept is None:
                 continue
@@ -144,7 +139,7 @@ def leaves(distance: int, proofs: int, most: int):
             one, two = [], []
             for i, j in zip(edge[:whole], edge[1 : whole + 1], strict=True):
                 if j - i > 1:
-                    x, y = forest(kept[1][i:j].view(np.uint64), kept[2][i:j], distance, [p[i:j].view(np.uint64) for p in kept[3:]], most)
+                    x, y = forest(kept[1][i:j].view(np.uint64), kept[2][i:j], distance)
                     one.append(x)
                     two.append(y)
             kept = [x[edge[whole] :] for x in kept]
@@ -160,11 +155,23 @@ def ends(items: Iterator) -> Iterator[tuple[bool, object]]:
     yield True, None
 
 
-def near_links(points: DataFrame, distance: int = DISTANCE, proof: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+def blocks(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """Cells of over BLOCK rows as cells of each two of their blocks (by a hash of the fingerprint); smaller ones as they are."""
+    large = settle(counts.where(F.col("count") > BLOCK))
+    if large.isEmpty():
+        return cells
+    many = F.ceil(F.col("count") / BLOCK).cast("int")
+    dealt = cells.join(large, "cell").withColumn("many", many).withColumn("b", F.pmod(F.xxhash64("print"), "many").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    pair = F.xxhash64("cell", F.least("b", "other"), F.greatest("b", "other")).alias("cell")
+    return cells.join(large, "cell", "left_anti").select("cell", "print", "first").unionByName(dealt.select(pair, "print", "first"))
+
+
+def near_links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """u, v: links between fingerprints, named by `first`, that connect all within the distance.
 
-    points: `print` and `first`, each first once. Cells are cut again while any holds more than LIMIT. With
-    proof, columns of more fingerprints, a pair is linked only if those differ in `most` bits or fewer.
+    points: `print` and `first`, each first once. Cells are cut again while any holds more than LIMIT, up to
+    LEVELS times; what is still larger than BLOCK is dealt into blocks, and each two of them are compared in a task's cell.
     """
     if distance >= PARTS:
         raise ValueError(f"{PARTS} parts allow a distance below {PARTS}")
@@ -178,17 +185,19 @@ def near_links(points: DataFrame, distance: int = DISTANCE, proof: tuple[str, ..
             for k, part in enumerate(parts(left)):
                 names[(*track, k)] = [b for b in left if b not in part]
                 rows.append(F.when(F.col("track") == at, F.struct(F.lit(at * PARTS + k).alias("track"), F.xxhash64("cell", F.lit(k), cell("print", part, width)).alias("cell"))))
-        cut = heavy.select("print", "first", *proof, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.cell", "print", "first", *proof, "x.track")
+        cut = heavy.select("print", "first", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.cell", "print", "first", "x.track")
         tracks, level = names, level + 1
         counts = cut.groupBy("cell").count()
-        large = settle(counts.where(F.col("count") > LIMIT).select("cell")) if level < 4 else None
+        large = settle(counts.where(F.col("count") > LIMIT).select("cell")) if level < LEVELS else None
         any_large = large is not None and not large.isEmpty()
         small = cut.join(large, "cell", "left_anti") if any_large else cut
-        found = small.select("cell", "print", "first", *proof).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(leaves(distance, len(proof), most), "u long, v long")
+        if level == LEVELS:
+            small = blocks(small, counts)
+        found = small.select("cell", "print", "first").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(leaves(distance), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not any_large:
             return out.distinct()
-        heavy = cut.join(large, "cell", "left_semi").select("print", "first", *proof, "cell", "track")
+        heavy = cut.join(large, "cell", "left_semi").select("print", "first", "cell", "track")
 
 
 def components(links: DataFrame) -> DataFrame:
