@@ -78,7 +78,7 @@ def windows_of(words, m):
     return [tuple(words[i : i + m]) for i in range(len(words) - m + 1)]
 
 
-def brute_contamination(texts, items):
+def brute_contamination(texts, items, longest=False):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     known = {}
     for item, t in items:
@@ -93,7 +93,8 @@ def brute_contamination(texts, items):
                 if x in known:
                     hit |= set(range(i, i + m))
                     some |= known[x]
-        out.append((d, len(w), len(hit), len(some), hashlib.sha256(",".join(sorted(some)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((d, len(w), len(hit), len(some), hashlib.sha256(",".join(sorted(some)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), max((len(x) for x in known if x in windows_of(w, len(x))), default=0)))
+    out = out if longest else [r[:-1] for r in out]
     return sorted(out, key=repr)
 
 
@@ -101,7 +102,7 @@ def brute_contamination(texts, items):
 def test_contamination(spark, pattern_bytes):
     texts = awkward()
     stock = [t for _, t in texts if t and len(t) > 150][:8]
-    items = [(k, t[20:140]) for k, t in enumerate(stock)] + [(20, "Shared LINE!"), (21, "é"), (22, None), (23, "..."), (None, stock[0][40:90]), (100, stock[1][:60])]
+    items = [(k, t[20:140]) for k, t in enumerate(stock)] + [(20, "Shared LINE!"), (21, "é"), (22, None), (23, "..."), (None, stock[0][40:90]), (100, stock[1][:60]), (101, " ".join(stock)), (102, stock[2][20:140])]
     texts += [(3000, stock[0].upper().replace(" ", " -- ")), (3001, " ".join(["word"] * 900) + " " + stock[1][20:140])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(frame(spark, texts), bench, pattern_bytes=pattern_bytes)
@@ -113,6 +114,29 @@ def test_contamination(spark, pattern_bytes):
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(w[0]) for w in want if not w[5])
 
 
+def test_long_texts_are_searched_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLAB", 64)
+    r, stock = random.Random(3), ["ab", "b", "cde", "x" * 90, "é", "q7"]
+    say = lambda n: " ".join(r.choice(stock) + r.choice(["", "--", " . ", "\n" * 70]) for _ in range(n))
+    texts = [say(n) for n in (40, 200, 400)] + [" " * 700, "x" * 700, "", "ab " + "." * 400 + " b cde q7" * 9]
+    items = [(str(k), t) for k, t in enumerate([texts[1][100:300], texts[2][50:90], "ab b cde", say(30), "é", texts[6]])]
+    own = decontaminate.Searcher(items, 13)
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        n, n_hit, longest, bits, found = own.run(data, np.array([0, len(data)]))
+        (_, words, hits, n_items, sha, _, most), = brute_contamination([(0, t)], items, longest=True)
+        assert (n[0], n_hit[0], longest[0], len(found[0])) == (words, hits, most, n_items) and hashlib.sha256(",".join(found[0]).encode()).hexdigest() == sha
+        assert int.from_bytes(bits[0], "big").bit_count() == hits
+
+
+def test_items_come_in_bounded_pieces(spark):
+    long = " ".join(prose(9, 200))
+    blocks = list(decontaminate.pattern_blocks(spark.createDataFrame([(1, long), (2, "short"), (3, None)], "item_id long, text string"), 500, 13))
+    assert all(sum(len(t or "") for _, t in b) <= 500 for b in blocks) and len(blocks) > 5
+    words = long.split()
+    assert {x for b in blocks for i, t in b if i == "1" for x in windows_of(t.split(), 13)} == set(windows_of(words, 13))
+
+
 def test_nothing_to_search(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     texts = awkward()

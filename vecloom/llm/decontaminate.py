@@ -9,7 +9,6 @@ of its own. Windows of one length make one set of tables; a shorter item adds a
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SLAB, LANE, TABLE = 1 << 20, 256, 20
 #: Bytes of test strings that one set of tables may hold; more are searched for in several passes.
-PATTERN_BYTES = 8 << 20
+PATTERN_BYTES = 4 << 20
 
 
 class Words:
@@ -65,35 +64,60 @@ class Words:
             h = (h ^ (h >> np.uint64(31))) * K1 + self.hash(k + 1)
         return (h ^ (h >> np.uint64(33))) * K3
 
+    def whole(self, k: np.ndarray, n: int) -> np.ndarray:
+        """Of n words from k, each with its place."""
+        h = np.zeros(len(k), np.uint64)
+        for j in range(n):
+            h = (h ^ self.hash(k + j)) * K1
+            h ^= h >> np.uint64(31)
+        return h
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "eight"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.eight = np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+
     def joined(self, k: int, n: int) -> bytes:
         text, start, size = self.text, self.start, self.size
         return b" ".join([text[start[i] : start[i] + size[i]].tobytes() for i in range(k, k + n)])
 
 
 class Tables:
-    """Shift and bucket tables for strings of m words each."""
+    """Shift tables and suffix buckets for windows of m words each of the patterns, which stay where they are."""
 
-    def __init__(self, strings_: list[bytes], m: int):
-        self.m, self.width = m, min(2, m)
-        data = np.frombuffer(b" ".join(strings_), np.uint8)
-        words = Words(data, np.array([0, len(data)]))
-        begin = np.arange(len(strings_)) * m
+    def __init__(self, patterns: Words, begin: np.ndarray, owner: np.ndarray, m: int):
+        """begin: each window's first word; owner: its item. Equal windows share an entry."""
+        self.m, self.width, self.patterns = m, min(2, m), patterns
         self.shift = np.full(1 << TABLE, m - self.width + 1, np.uint8 if m < 255 else np.int64)
         for j in range(m - self.width + 1):
-            np.minimum.at(self.shift, self.slot(words.block(begin + j, self.width)), m - self.width - j)
-        suffix, prefix = words.block(begin + m - self.width, self.width), words.block(begin, self.width)
+            np.minimum.at(self.shift, self.slot(patterns.block(begin + j, self.width)), m - self.width - j)
+        suffix, prefix = patterns.block(begin + m - self.width, self.width), patterns.block(begin, self.width)
         self.pair = np.zeros(1 << TABLE, bool)
         self.pair[self.slot(suffix * K1 ^ prefix)] = True
-        self.bucket: dict[int, dict[bytes, int]] = defaultdict(dict)
-        for i, (s, x) in enumerate(zip(suffix.tolist(), strings_, strict=True)):
-            self.bucket[s][x] = i
+        whole = patterns.whole(begin, m)
+        by = np.lexsort((begin, whole, suffix))
+        begin, suffix, whole, owner = begin[by], suffix[by], whole[by], owner[by]
+        new = np.ones(len(begin), bool)
+        new[1:] = (suffix[1:] != suffix[:-1]) | (whole[1:] != whole[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        for i in np.flatnonzero(~new).tolist():  # equal hashes: equal windows, or else an entry of its own
+            if patterns.joined(int(begin[i]), m) != patterns.joined(int(begin[first[i]]), m):
+                new[i] = True
+        head = np.flatnonzero(new)
+        self.suffix, self.whole, self.begin = suffix[head], whole[head], begin[head]
+        self.owner, self.owners = owner.astype(np.int32), np.append(head, len(begin))
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - TABLE)).astype(np.int64)
 
+    def items(self, i: int) -> list[int]:
+        return self.owner[self.owners[i] : self.owners[i + 1]].tolist()
+
     def search(self, words: Words) -> list[tuple[int, int]]:
-        """Every occurrence: the first word's place, and which string."""
+        """Every occurrence: the first word's place, and which entry."""
         m, w = self.m, self.width
         begin, end = words.edge[:-1], words.edge[1:] - m + 1  # first places of a window, by text
         some = end > begin
@@ -110,68 +134,130 @@ class Tables:
             if len(here):
                 k, s = place[here], suffix[here]
                 likely = self.pair[self.slot(s * K1 ^ words.block(k, w))]
-                for x, h in zip(k[likely].tolist(), s[likely].tolist(), strict=True):
-                    bucket = self.bucket.get(h)
-                    if bucket and (i := bucket.get(words.joined(x, m))) is not None:
-                        found.append((x, i))
+                k, s = k[likely], s[likely]
+                bucket, after = np.searchsorted(self.suffix, s), np.searchsorted(self.suffix, s, "right")
+                some = bucket < after
+                k = k[some]
+                for x, h, i, j in zip(k.tolist(), words.whole(k, m), bucket[some].tolist(), after[some].tolist(), strict=True):
+                    i += int(np.searchsorted(self.whole[i:j], h))
+                    while i < j and self.whole[i] == h:
+                        if words.joined(x, m) == self.patterns.joined(int(self.begin[i]), m):
+                            found.append((x, i))
+                            break
+                        i += 1
             place = place + np.maximum(move, 1)
             on = place < stop
             place, stop = place[on], stop[on]
         return found
 
 
-def item_windows(text: str | None, window: int) -> list[bytes]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    words = Words(data, np.array([0, len(data)]))
-    n = len(words.start)
-    m = min(window, n)
-    return [words.joined(k, m) for k in range(n - m + 1)] if n else []
-
-
 class Searcher:
-    """Tables for all lengths, and the items that have each string."""
+    """Tables for all lengths. The test strings aren't copied: a window is a place in the items' words.
+
+    Memory: about 12 bytes for each byte of the items (pattern_blocks bounds them), and 2 MB for each length.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        of: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            for x in item_windows(text, window):
-                of[x.count(b" ") + 1][x].add(item)
-        self.sets = [(Tables(list(w), m), list(w.values())) for m, w in sorted(of.items())]
-
-    def run(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], list[list[str]]]:
-        """For each text: its number of words, how many are hit and which (bits, empty if none), the items found."""
+        self.names, self.window = [i for i, _ in items], window
+        texts = [(t or "").encode() for _, t in items]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        words = Words(np.frombuffer(b"".join(texts), np.uint8), at)
+        n = np.diff(words.edge)
+        length, self.sets = np.minimum(n, window), []
+        for m in np.unique(length[length > 0]).tolist():
+            which = np.flatnonzero(length == m)
+            many = n[which] - m + 1
+            begin = np.repeat(words.edge[:-1][which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            self.sets.append(Tables(words, begin, np.repeat(which, many), m))
+
+    def run(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[list[str]]]:
+        """For each text: its number of words, how many are hit, the longest window that occurs, which words are hit (bits, empty if none), the items found."""
+        if len(at) == 2 and at[1] - at[0] > 2 * SLAB:
+            return self.long(data[at[0] : at[1]])
         words = Words(data, at)
         n = len(at) - 1
-        cover = np.zeros(len(words.start) + 1, np.int32)
-        items: dict[int, set[str]] = {}
-        for tables, owners in self.sets:
-            for k, i in tables.search(words):
-                cover[k] += 1
-                cover[k + tables.m] -= 1
-                items.setdefault(int(np.searchsorted(words.edge, k, "right")) - 1, set()).update(owners[i])
-        hit = np.cumsum(cover[:-1]) > 0
+        hit, longest, items = self.hits(words, n)
         bits = [b""] * n
         for d in items:
             bits[d] = np.packbits(hit[words.edge[d] : words.edge[d + 1]]).tobytes()
         total = np.concatenate([[0], np.cumsum(hit)])
-        return np.diff(words.edge), np.diff(total[words.edge]), bits, [sorted(items.get(d, ())) for d in range(n)]
-
+        return np.diff(words.edge), np.diff(total[words.edge]), longest, bits, [sorted(items.get(d, ())) for d in range(n)]
 
-def pattern_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, in blocks of at most `most` bytes of text (one item may be more)."""
+    def hits(self, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+        """Which words are hit; of each text the longest window and the items that occur in it."""
+        cover, longest, items = np.zeros(len(words.start) + 1, np.int32), np.zeros(n, np.int64), {}
+        for tables in self.sets:
+            for k, i in tables.search(words):
+                cover[k] += 1
+                cover[k + tables.m] -= 1
+                d = int(np.searchsorted(words.edge, k, "right")) - 1
+                longest[d] = max(longest[d], tables.m)
+                items.setdefault(d, set()).update(self.names[x] for x in tables.items(i))
+        return np.cumsum(cover[:-1]) > 0, longest, items
+
+    def long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[list[str]]]:
+        """run() for one long text, in pieces of about SLAB bytes that share window - 1 words."""
+        hit, longest, items = [np.zeros(0, bool)], 0, set()
+        begin, shared, size = 0, 0, SLAB  # the piece's first byte; words that it shares with the piece before it
+        while begin < len(data):
+            end = min(len(data), begin + size)
+            while end < len(data) and len(gap := ~WORD[LOWER[data[end : end + SLAB]]]):  # to the end of a word
+                if gap.any():
+                    end += int(gap.argmax())
+                    break
+                end += len(gap)
+            words = Words(data, np.array([begin, end]))
+            n = len(words.start)
+            if end < len(data) and 0 < n <= 2 * self.window:  # long words, or few
+                size *= 2
+                continue
+            own, m, found = self.hits(words, 1)
+            if shared:
+                hit[-1][len(hit[-1]) - shared :] |= own[:shared]
+            hit.append(own[shared:].copy())
+            longest, items, size = max(longest, int(m[0])), items | found.get(0, set()), SLAB
+            if end == len(data):
+                break
+            shared = min(self.window - 1, n)
+            begin = begin + int(words.start[n - shared]) if n else end
+        hit = np.concatenate(hit)
+        bits = np.packbits(hit).tobytes() if items else b""
+        return np.array([len(hit)]), np.array([int(hit.sum())]), np.array([longest]), [bits], [sorted(items)]
+
+
+def pieces(text: str | None, most: int, window: int) -> Iterator[str | None]:
+    """A long item as parts that share window - 1 words, so that each of its windows is in one of them."""
+    data = (text or "").encode()
+    if len(data) <= most:
+        yield text
+        return
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    n, i, ends = len(words.start), 0, words.start + words.size
+    while i < n:
+        j = int(np.searchsorted(ends, words.start[i] + most, "right"))
+        j = min(n, max(j, i + window))
+        yield data[words.start[i] : ends[j - 1]].decode()
+        if j == n:
+            return
+        i = j - window + 1
+
+
+def pattern_blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items, in blocks of at most `most` bytes of text; a longer item comes in pieces."""
     block, size = [], 0
-    for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator():
-        more = len((text or "").encode())
-        if block and size + more > most:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += more
+    for item, whole in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator():
+        for text in pieces(whole, most, window):
+            more = len((text or "").encode())
+            if block and size + more > most:
+                yield block
+                block, size = [], 0
+            block.append((item, text))
+            size += more
     if block:
         yield block
 
 
-FOUND = "doc_id long, key long, n_words long, n_hit long, hit binary, items array<string>"
+FOUND = "doc_id long, key long, n_words long, n_hit long, hit binary, items array<string>, longest long"
 
 
 def occurrences(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
@@ -182,23 +268,22 @@ def occurrences(docs: DataFrame, items: list[tuple[str, str | None]], window: in
         for b in batches:
             data, at = strings(b.column(2))
             for i, j in slabs(at, SLAB):
-                n, n_hit, bits, found = tables.value.run(data, at[i : j + 1])
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n), pa.array(n_hit), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "key", "n_words", "n_hit", "hit", "items"])
+                n, n_hit, longest, bits, found = tables.value.run(data, at[i : j + 1])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n), pa.array(n_hit), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(longest)], ["doc_id", "key", "n_words", "n_hit", "hit", "items", "longest"])
 
     return docs.mapInArrow(run, FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """doc_id, key, n_words, n_hit, items (ids whose windows occur, sorted as strings) and contaminated of each row.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """doc_id, key, n_words, n_hit, longest (the most words of a window that occurs, or 0), items (ids whose windows occur, sorted as strings) and contaminated of each row.
 
     Windows are `window` consecutive words of an item; an item with fewer is one window, with none it has none.
-    contaminated: some word is hit and at least `share` of them. Null or empty text: no words. A null item_id
-    is an empty string, items with one id are one. Empty benchmark: nothing is hit. Larger benchmarks
+    contaminated: some word is hit and at least `percent` of a hundred are. Null or empty text: no words. A null
+    item_id is an empty string, items with one id are one. Empty benchmark: nothing is hit. Larger benchmarks
     than pattern_bytes are searched for in several passes, whose hits are joined.
     """
-    spark = docs.sparkSession
     rows = keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    blocks = pattern_blocks(benchmark, pattern_bytes)
+    blocks = pattern_blocks(benchmark, pattern_bytes, window)
     found = occurrences(rows, next(blocks, []), window)
     more = next(blocks, None)
     if more is not None:  # several passes: each is written, then a row's hits are joined
@@ -209,11 +294,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         found = passes[0]
         for p in passes[1:]:
             found = found.unionByName(p)
-        found = found.withColumn("copies", F.lit(1)).groupBy("doc_id", "key").agg(
+        found = found.groupBy("doc_id", "key").agg(
             F.first("n_words").alias("n_words"), F.collect_list(F.when(F.length("hit") > 0, F.col("hit"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(passes)).cast("int").alias("copies"),
-        ).withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "hits", "items").mapInArrow(either, FOUND)
-    return found.select("doc_id", "key", "n_words", "n_hit", "items", "hit", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * share)).alias("contaminated"))
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), (F.count("*") / len(passes)).cast("int").alias("copies"),
+        ).withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "hits", "items", "longest").mapInArrow(either, FOUND)
+    return found.select("doc_id", "key", "n_words", "n_hit", "longest", "items", "hit", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +306,17 @@ def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         some = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in row]).tobytes() if row else b"" for row in b.column(3).to_pylist()]
         hit = pa.array([int.from_bytes(x, "big").bit_count() for x in some], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), hit, pa.array(some, pa.binary()), b.column(4)], ["doc_id", "key", "n_words", "n_hit", "hit", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), hit, pa.array(some, pa.binary()), b.column(4), b.column(5)], ["doc_id", "key", "n_words", "n_hit", "hit", "items", "longest"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated. Where one set of tables will do, one pass and no shuffle."""
-    blocks = pattern_blocks(benchmark, pattern_bytes)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated. Where one set of tables will do, one pass and no shuffle.
+    """
+    blocks = pattern_blocks(benchmark, pattern_bytes, window)
     items = next(blocks, [])
     if next(blocks, None) is not None:
-        bad = contamination(docs, benchmark, window, share, pattern_bytes).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
+        found = contamination(docs, benchmark, window, percent, pattern_bytes)
+        bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
         id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
         return docs.join(bad, (id_ == bad["bad_id"]) & (F.xxhash64(text) == bad["bad_key"]), "left_anti")
     tables = docs.sparkSession.sparkContext.broadcast(Searcher(items, window))  # at most PATTERN_BYTES of test strings
@@ -239,8 +326,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
         for b in batches:
             data, at = strings(b.column(text))
             for i, j in slabs(at, SLAB):
-                n, n_hit, _, _ = tables.value.run(data, at[i : j + 1])
-                yield b.slice(i, j - i).filter(pa.array((n_hit == 0) | (n_hit < n * share)))
+                n, n_hit, _, _, _ = tables.value.run(data, at[i : j + 1])
+                yield b.slice(i, j - i).filter(pa.array((n_hit == 0) | (100 * n_hit < percent * n)))
 
     return docs.mapInArrow(run, docs.schema)
 
