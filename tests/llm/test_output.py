@@ -111,7 +111,9 @@ def test_contamination(spark, pattern_bytes):
     assert got == want and sum(w[5] for w in want) > 5 and any(w[2] and not w[5] for w in want)
     kept = decontaminate.drop_contaminated(frame(spark, texts), bench, pattern_bytes=pattern_bytes)
     assert kept.columns == frame(spark, texts).columns
-    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(w[0]) for w in want if not w[5])
+    whole = brute_contamination(texts, items, longest=True)
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(w[0]) for w in whole if not w[5] and w[6] < decontaminate.SURE)
+    assert any(w[6] >= 13 and not w[5] for w in whole)  # a passage in a long text goes too
 
 
 def test_long_texts_are_searched_in_pieces(monkeypatch):

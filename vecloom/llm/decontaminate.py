@@ -28,6 +28,8 @@ K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 SLAB, LANE, TABLE = 1 << 20, 256, 20
 #: Bytes of test strings that one set of tables may hold; more are searched for in several passes.
 PATTERN_BYTES = 4 << 20
+#: So many words of an item in a row are enough to drop a document, however long it is.
+SURE = 8
 
 
 class Words:
@@ -309,14 +311,17 @@ def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), hit, pa.array(some, pa.binary()), b.column(4), b.column(5)], ["doc_id", "key", "n_words", "n_hit", "hit", "items", "longest"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated. Where one set of tables will do, one pass and no shuffle.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, sure: int = SURE, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that neither have an occurrence of a window of `sure` words or more nor are contaminated.
+
+    A passage of the benchmark is one in a long document as in a short one, so the share of words hit decides
+    only about items of fewer words than `sure`. Where one set of tables will do, one pass and no shuffle.
     """
     blocks = pattern_blocks(benchmark, pattern_bytes, window)
     items = next(blocks, [])
     if next(blocks, None) is not None:
         found = contamination(docs, benchmark, window, percent, pattern_bytes)
-        bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
+        bad = found.where((F.col("longest") >= sure) | F.col("contaminated")).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
         id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
         return docs.join(bad, (id_ == bad["bad_id"]) & (F.xxhash64(text) == bad["bad_key"]), "left_anti")
     tables = docs.sparkSession.sparkContext.broadcast(Searcher(items, window))  # at most PATTERN_BYTES of test strings
@@ -326,8 +331,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, p
         for b in batches:
             data, at = strings(b.column(text))
             for i, j in slabs(at, SLAB):
-                n, n_hit, _, _, _ = tables.value.run(data, at[i : j + 1])
-                yield b.slice(i, j - i).filter(pa.array((n_hit == 0) | (100 * n_hit < percent * n)))
+                n, n_hit, longest, _, _ = tables.value.run(data, at[i : j + 1])
+                yield b.slice(i, j - i).filter(pa.array((longest < sure) & ((n_hit == 0) | (100 * n_hit < percent * n))))
 
     return docs.mapInArrow(run, docs.schema)
 
