@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -74,6 +75,27 @@ def test_word_cache_is_bounded(monkeypatch):
     assert got == plain(texts)
 
 
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    """Every letter, mark, number and sign of the Unicode tables, before and after what ends a word, and long texts in parts."""
+    own, r = token_files.WordEncoder(TOKENIZER), random.Random(11)
+    of = {}
+    for c in map(chr, range(32, 0x30000)):
+        of.setdefault(unicodedata.category(c), []).append(c)
+    of = {k: v for k, v in of.items() if k[0] in "LMNPSZ"}
+    marks = list(token_files.STOPS) + ["'s", "'T", "-", "(", ")", "<|", "</w>", "\u0307", "\u093c", "\n", "\t", "\u0085", "1"]
+    texts = ["ALİ.", 'ESKİ! yeni', "DİLİ, güzel", "\u0958. \ufb1d, x", "ǅ. ſ! ß? K;", "<|ENDOFTEXT|> <|endoftext|>x y."]
+    texts += [f"a{c}. {c}, {c}a! x{c}" for c in [c for k, v in of.items() if k[0] == "L" for c in (v if len(v) < 3000 else r.sample(v, 1000))]]
+    for _ in range(6000):
+        word = lambda: "".join(r.choice(of[r.choice(list(of))]) if r.random() < 0.4 else r.choice("abcXYZİé") for _ in range(r.randint(1, 5)))
+        texts.append(" ".join(word() + "".join(r.choices(marks, k=r.randint(0, 3))) for _ in range(r.randint(1, 6))))
+    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 100) for x in own.ids(texts[i : i + 100])]
+    assert got == plain(texts)
+    monkeypatch.setattr(token_files, "PART", 50)
+    for t in (" ".join(texts[100:300]), "x" * 130, "x" * 70 + " y" * 70, " " * 200):
+        assert "".join(token_files.parts(t)) == t
+        assert [np.frombuffer(own.ids([t])[0], "<u4").tolist()] == plain([t])
+
+
 def windows_of(words, m):
     return [tuple(words[i : i + m]) for i in range(len(words) - m + 1)]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from vecloom.llm.common import keyed, public_id, shared_dir, shuffle_partitions,
 SEEK_HEAD, SEEK_FOOT, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
 LEVEL = 1
-WORDS_KEPT, SLAB = 800_000, 1 << 20
+WORDS_KEPT, SLAB, PART = 800_000, 1 << 20, 1 << 20
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -41,6 +42,25 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 STOPS = ".,!?;:|%#$&*"
 
 
+def ends_in_letter(core: str) -> bool:
+    """Whether letters still end in a letter once they are composed and lower-cased (\u0130 doesn't). Other scripts than
+    Latin, Greek and Cyrillic aren't judged: the tokenizer's tables may be older or newer than Python's."""
+    last = core[-1]
+    return last.isascii() or (last < "\u0530" and unicodedata.normalize("NFC", core).lower()[-1].isalpha())
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text cut at spaces, into parts of up to PART characters (more only where there is no space)."""
+    i = 0
+    while i < len(text):
+        j = len(text) if len(text) - i <= PART else text.rfind(" ", i + 1, i + PART)
+        if j < 0:
+            j = text.find(" ", i + PART)
+            j = len(text) if j < 0 else j
+        yield text[i:j]
+        i = j
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space, lower-cases and marks the ends of pieces.
 
@@ -58,6 +78,7 @@ class WordEncoder:
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -82,7 +103,7 @@ class WordEncoder:
         cores = [c.lower() if c.isascii() else c for _, c in split]
         self.letters(list({c for c in cores if c not in known and c.isalpha()}))
         for (w, c), core in zip(split, cores, strict=True):
-            if not c.isalpha():
+            if not c.isalpha() or len(c) < len(w) and not ends_in_letter(c):
                 known[w] = self.encode(w).tobytes()
             elif len(c) < len(w):
                 rest = w[len(c) :]
@@ -93,17 +114,21 @@ class WordEncoder:
                 known[w] = known[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers."""
-        if any("<|" in x for x in texts):  # perhaps special tokens: as they are
-            return [self.encode(x).tobytes() for x in texts]
+        """For each text its ids as little-endian 32-bit integers. A long text goes in parts, so that its words aren't all held."""
+        if len(texts) == 1 and len(texts[0]) > PART and not any(x in texts[0] for x in self.special):
+            return [b"".join(self.some([x])[0] for x in parts(texts[0]))]
+        return self.some(texts)
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        whole = [any(x in t for x in self.special) for t in texts]  # special tokens aren't words
         known = self.known
-        words = [x.replace("\n", " ").split(" ") for x in texts]
+        words = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole, strict=True)]
         new = set().union(*words).difference(known)
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
             new = set().union(*words)
         self.learn(new)
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        return [self.encode(t).tobytes() if is_whole else b"".join(map(known.__getitem__, w)) for t, w, is_whole in zip(texts, words, whole, strict=True)]
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -213,7 +238,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 
     ordered = (
         keyed(docs)
-        .repartitionByRange(shuffle_partitions(spark), "doc_id")
+        .repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text"))  # rows of one id may go to several files
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     parts = ordered.mapInArrow(write, MANIFEST).collect()  # a row for each file
