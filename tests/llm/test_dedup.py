@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from llm.helpers import awkward, frame, prose
@@ -35,12 +37,9 @@ def repeats(texts):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [0, 3, 1 << 14])
-def test_repeats(spark, hot, monkeypatch):
-    texts = awkward()
-    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 4000)
-    monkeypatch.setattr(substring_dedup, "CHUNK", 3000)
-    monkeypatch.setattr(substring_dedup, "SLAB", 2000)
+@pytest.mark.parametrize("hot", [0, 1 << 14])
+def test_repeats(spark, hot):
+    texts = awkward() + [(None, "copied " * 30)] * 40 + [(None, None)] * 30
     found = substring_dedup.remove_repeats(frame(spark, texts), hot=hot)
     want = repeats(texts)
     assert of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
@@ -49,6 +48,51 @@ def test_repeats(spark, hot, monkeypatch):
     assert len(row.spans) == 2 * row.n_spans and sum(row.spans[1::2]) - sum(row.spans[::2]) == row.n_removed
 
 
+def grouped(tables, by):
+    """Tables by the value of a column."""
+    out = {}
+    for t in tables:
+        for v in sorted(set(t.column(by).to_pylist())):
+            out.setdefault(v, []).append(t.filter(pc.equal(t.column(by), v)))
+    return {k: pa.concat_tables(v) for k, v in sorted(out.items())}
+
+
+def in_turn(texts, job, blocks):
+    """The steps of remove_repeats without Spark: the result, and how many bytes of stretches were sent."""
+    rows = [(NULL_ID if d is None else d, xxhash.xxh64_intdigest((t or "").encode()) >> 1, t or "", k % blocks) for k, (d, t) in enumerate(texts)]
+    table = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("doc_id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("block", pa.int32())))})
+    by_block = grouped([table], "block")
+    shared = grouped([job.shared(t) for t in grouped([job.anchors(t) for t in by_block.values()], "bucket").values()], "block")
+    none = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
+    sent = [job.stretches(t, shared.get(b, none)) for b, t in by_block.items()]
+    marks = [job.marks(t) for t in grouped(sent, "shard").values()]
+    replies = grouped(marks, "block")
+    empty = pa.table({"block": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
+    out = [job.remove(t, replies.get(b, empty)) for b, t in by_block.items()]
+    got = pa.concat_tables(out).select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return sorted(map(tuple, (r.values() for r in got.to_pylist())), key=repr), sum(len(x) for t in sent for x in substring_dedup.unpacked(t.column("text")))
+
+
+@pytest.mark.parametrize("hot, slab", [(0, 300), (3, 2000), (1 << 14, 150)])
+def test_repeats_in_slices(hot, slab, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 3000)
+    monkeypatch.setattr(substring_dedup, "MERGED", 500)
+    monkeypatch.setattr(substring_dedup, "SLAB", slab)
+    texts = awkward()
+    assert in_turn(texts, substring_dedup.Dedup(3, 50, 20, hot), 4)[0] == repeats(texts)
+
+
+@pytest.mark.parametrize("hot", [10, 1 << 14])
+def test_a_shared_line_is_sent_once_a_block(hot):
+    line = "this line is in a third of all rows and so must not go to one task row by row"
+    own = [" ".join(f"{n}w{k}" for k in range(8)) for n in range(300)]
+    texts = [(n, own[n] + "\n" + line) for n in range(300)]
+    assert in_turn(texts, substring_dedup.Dedup(3, 50, 20, hot), 2)[0] == repeats(texts)
+    same = [(n, line) for n in range(300)]
+    got, sent = in_turn(same, substring_dedup.Dedup(3, 50, 20, hot), 2)
+    assert got == repeats(same) and sent == in_turn(same[:2], substring_dedup.Dedup(3, 50, 20, 0 if hot == 10 else hot), 2)[1]
+
+
 def test_no_documents(spark):
     empty = frame(spark, [])
     for found in (substring_dedup.remove_repeats(empty), line_dedup.dedup_lines(empty), simhash.near_duplicates(empty), simhash.keep_first(empty)):
@@ -87,6 +131,7 @@ def kept_lines(texts):
 
 def test_lines(spark):
     texts = [*awkward(), (900, "é" * 9 + "\n" + "é" * 10), (901, "é" * 10 + "\n" + "é" * 9 + "\nsame same same\nSame SAME same  "), (902, "\r same same same\v")]
+    texts += [(None, "one line of a row without id\nand another")] * 50
     found = line_dedup.dedup_lines(frame(spark, texts))
     want = kept_lines(texts)
     assert of(found, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
@@ -96,11 +141,19 @@ def test_lines(spark):
         assert hashlib.sha256(line_dedup.kept_lines(by_id[r.doc_id], r.keep_bitmap).encode()).hexdigest() == r.kept_sha256
 
 
-def test_a_hash_that_goes_on_in_the_next_batch():
-    import pyarrow as pa
+def test_lines_come_in_pieces_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE", 10)
+    for t in (b"", b"\n", b"a" * 35, b"a" * 35 + b"\n" + b"b" * 3, b"\n" * 25, b"ab\n" * 9, b"x" * 9 + b"\n" + b"y" * 10 + b"\n"):
+        assert [x for p in line_dedup.pieces(np.frombuffer(t, np.uint8)) for x in p] == t.split(b"\n")
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500).tolist() + [-(2**63), 2**63 - 1, 0, -1]
+    rows = spark.createDataFrame([(x, 0, 0, 0, 0) for x in h], line_dedup.ENTRY)
+    got = [[r.h1 for r in p] for p in line_dedup.in_ranges(rows, 5).rdd.glom().collect()]
+    assert len(got) == 5 and [x for p in got for x in p] == sorted(h) and min(map(len, got)) > 50
 
-    entry = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h1", "h2", "doc_id", "block"])
-    batches = [entry([(1, 1, 5, 0), (1, 1, 7, 1)]), entry([(1, 1, 9, 2), (2, 0, 1, 0)]), entry([(2, 0, 3, 3)])]
+
+def test_a_hash_that_goes_on_in_the_next_batch():
+    entry = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h1", "h2", "doc_id", "line", "block"])
+    batches = [entry([(1, 1, 5, 0, 0), (1, 1, 7, 4, 1)]), entry([(1, 1, 9, 0, 2), (2, 0, 1, 1, 0)]), entry([(2, 0, 3, 9, 3)])]
     got = [tuple(r.values()) for b in line_dedup.stream(iter(batches)) for r in b.to_pylist()]
     assert got == [(1, 1, 1, 5), (2, 1, 1, 5), (3, 2, 0, 1)]
 

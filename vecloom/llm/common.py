@@ -1,6 +1,7 @@
 """What the operators of this subpackage share: reading texts, the shared folder, blocks of documents.
 
-A null doc_id stands for the largest id (it sorts last) and comes back as null; a null text is an empty one.
+A null doc_id stands for the largest id (it sorts last) and comes back as null, as does a real id of 2**63 - 1; a null
+text is an empty one.
 """
 
 from __future__ import annotations
@@ -74,15 +75,50 @@ def slabs(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks of about block_bytes of text the documents fill."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // block_bytes))
+def ends(items: Iterator) -> Iterator[tuple[bool, object]]:
+    """Each item with False, then True and None."""
+    for x in items:
+        yield False, x
+    yield True, None
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """keyed() documents with the block that each belongs to, by a hash of the id."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+def row_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text").alias("key")
+
+
+def plan(rows: DataFrame) -> tuple[int, DataFrame, DataFrame | None]:
+    """Of keyed() rows: the bytes of all texts, the rows with their key, each different one once, and which are there several times (None: none).
+
+    Rows that are the same throughout can't be told apart, so no hash spreads them over blocks; an operator works
+    on one of them, and again() makes its result as many.
+    """
+    rows = rows.select("doc_id", "text", row_key())
+    each = settle(rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first(F.octet_length("text")).cast("long").alias("size")))
+    total, most = each.agg(F.sum(F.col("copies") * F.col("size")), F.max("copies")).first()
+    if (most or 1) == 1:
+        return total or 0, rows, None
+    several = each.where("copies > 1").select("doc_id", "key", "copies")
+    one = rows.join(several, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text")).select("doc_id", "text", "key")
+    return total, rows.join(several, ["doc_id", "key"], "left_anti").select("doc_id", "text", "key").unionByName(one), several
+
+
+def again(found: DataFrame, several: DataFrame | None) -> DataFrame:
+    """A result with doc_id and key, each row as often as it was there."""
+    if several is None:
+        return found
+    copies = F.coalesce("copies", F.lit(1)).cast("int")
+    return found.join(several, ["doc_id", "key"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), copies))).drop("nth", "copies")
+
+
+def parts_of(total: int, part_bytes: int) -> int:
+    """How many parts of about part_bytes."""
+    return max(1, -(-total // part_bytes))
+
+
+def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows with the block that each belongs to, by a hash of id and text: rows of one id, or without one, are spread."""
+    return rows.select("doc_id", "text", "key", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int").alias("block"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import NULL_ID, keyed, settle, shuffle_partitions, slabs, strings
+from vecloom.llm.common import NULL_ID, ends, keyed, settle, shuffle_partitions, slabs, strings
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 LEVELS, BLOCK, STRIPE = 4, 8192, 128
@@ -149,12 +149,6 @@ def leaves(distance: int):
     return run
 
 
-def ends(items: Iterator) -> Iterator[tuple[bool, object]]:
-    for x in items:
-        yield False, x
-    yield True, None
-
-
 def blocks(cells: DataFrame, counts: DataFrame) -> DataFrame:
     """Cells of over BLOCK rows as cells of each two of their blocks (by a hash of the fingerprint); smaller ones as they are."""
     large = settle(counts.where(F.col("count") > BLOCK))

@@ -4,17 +4,19 @@ Suffixes can't be sorted by themselves for all documents at once, so equal strin
 shards first. Every window of LENGTH bytes has an anchor, the K-byte string in it with the smallest hash;
 equal windows have equal anchors. Blocks of documents send the hashes of their anchors; those that occur once
 only are of no use. For the others a block sends the stretch of text whose windows have that anchor, once
-for each different stretch, to the anchor's shard. A shard sorts the suffixes of its stretches by induced
-sorting, takes from the permuted common prefixes which windows are equal, and so the smallest document
-that has each; the blocks get back which of their windows a smaller document has.
+for each different stretch however often it has it, with its first and last document, to the anchor's shard. A
+shard sorts the suffixes of its stretches by induced sorting, takes from the permuted common prefixes which
+windows are equal, and so the smallest document that has each, and tells the blocks; each goes over its texts
+again and drops the windows that a smaller document has.
 
 An anchor with more than HOT occurrences doesn't stay in one shard: its windows go to shards of their own, by
-their content, each one once for every block that has it.
+their content, each one once for every block that has it. Texts are gone over in slices of SLAB bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +24,20 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from vecloom.llm.common import in_blocks, keyed, n_blocks, slabs, strings
+from vecloom.llm.common import BLOCK_BYTES, again, ends, in_blocks, keyed, parts_of, plan, slabs, strings
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
-HOT, PIECE, SLAB, CHUNK, SHARD_BYTES = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20
+HOT, PIECE, SLAB, CHUNK, SHARD_BYTES, MERGED = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20, 1 << 20
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 U32, U64 = np.uint32, np.uint64
 
 ANCHORS = "bucket int, block int, hashes binary, counts binary"
 SHARED = "block int, bucket int, hashes binary, hot binary"
-STRETCHES = "shard int, block int, text binary, sizes binary, keys binary, which binary, row binary, at binary, doc binary"
-MARKS = "block int, row binary, first binary, last binary"
+STRETCHES = "shard int, block int, text binary, sizes binary, keys binary, hot binary, low binary, high binary"
+REPLY = np.dtype([("key", "<u8"), ("name", "<u8"), ("first", "<u4"), ("last", "<u4"), ("least", "<i8"), ("hot", "?")])
+MARKS = "block int, reply binary"
+KEPT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,15 +92,25 @@ def runs(data: np.ndarray, edge: np.ndarray, length: int, k: int) -> tuple[np.nd
     return a, np.minimum(a + PIECE - 1, np.repeat(last, pieces)), mix(low[a] ^ MIX)
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's documents by id, then text: ids, bytes and edges. The same for any order of its rows."""
-    doc = np.asarray(table.column("doc_id").combine_chunks())
-    by = np.argsort(doc, kind="stable")
-    if (np.diff(doc[by]) == 0).any():
-        text = table.column("text").to_pylist()
-        by = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], text[i])))
-    data, at = strings(table.column("text").combine_chunks().take(pa.array(by)))
-    return doc[by], data[at[0] : at[-1]], at - at[0]
+def slices(data: np.ndarray, edge: np.ndarray, length: int, k: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """runs() of some texts: where each slice begins, its bytes and its runs. A long text comes in slices that share what a window needs."""
+    for i, j in slabs(edge, SLAB):
+        begin, end = int(edge[i]), int(edge[j])
+        if j - i > 1 or end - begin <= 2 * SLAB:
+            yield begin, data[begin:end], runs(data[begin:end], edge[i : j + 1] - begin, length, k)
+            continue
+        for a in range(begin, end - length + 1, SLAB):
+            part = data[a : min(a + SLAB + length - 1, end)]
+            yield a, part, runs(part, np.array([0, len(part)]), length, k)
+
+
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's rows by id, then the key of their text: ids, keys, bytes and edges. The same for any order of its rows."""
+    doc, key = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "key"))
+    by = np.lexsort((key, doc))
+    text = table.column("text").combine_chunks()
+    data, at = strings(text if len(by) == 1 else text.take(pa.array(by)))
+    return doc[by], key[by], data[at[0] : at[-1]], at - at[0]
 
 
 def pack(**columns) -> pa.Table:
@@ -143,9 +157,15 @@ class Dedup:
 
     def anchors(self, table: pa.Table) -> pa.Table:
         """How often a block has each of its anchors, by bucket."""
-        _, data, edge = ordered(table)
-        found = [self.keys(runs(data[edge[i] : edge[j]], edge[i : j + 1] - edge[i], self.length, self.k)[2]) for i, j in slabs(edge, SLAB)]
-        key, count = np.unique(np.concatenate(found), return_counts=True)
+        _, _, data, edge = ordered(table)
+        key, count = np.zeros(0, U64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        for last, found in ends(slices(data, edge, self.length, self.k)):
+            held += [] if found is None else [self.keys(found[2][2])]
+            if held and (last or sum(map(len, held)) > MERGED):
+                new, n = np.unique(np.concatenate(held), return_counts=True)
+                both, where = np.unique(np.concatenate([key, new]), return_inverse=True)
+                key, count, held = both, np.bincount(where, np.concatenate([count, n]), len(both)).astype(np.int64), []
         bucket = (key >> U64(32)).astype(np.int32)
         e = edges(bucket)
         return pack(
@@ -171,52 +191,51 @@ class Dedup:
         )
 
     def stretches(self, table: pa.Table, shared: pa.Table) -> pa.Table:
-        """A block's stretches that have a shared anchor, each different one once, and where it has them; by shard."""
+        """A block's stretches that have a shared anchor, each different one once, with the first and last document that has it; by shard."""
         n_of = [len(x) // 4 for x in shared.column("hashes").to_pylist()]
         key = (np.repeat(np.asarray(shared.column("bucket").combine_chunks()), n_of).astype(U64) << U64(32)) | join(shared.column("hashes").to_pylist(), U32)
         hot = join(shared.column("hot").to_pylist(), bool)
         by = np.argsort(key)
         key, hot = key[by], hot[by]
-        doc, data, edge = ordered(table)
+        doc, _, data, edge = ordered(table)
         index: dict[tuple[int, bytes], int] = {}
-        which, at = [], []
-        for i, j in slabs(edge, SLAB):
-            if not len(key):
-                break
-            base = int(edge[i])
-            first, last, h = runs(data[base : edge[j]], edge[i : j + 1] - base, self.length, self.k)
+        low, high, heads = [], [], []  # documents come in ascending order
+
+        def keep(k: int, x: bytes, d: int) -> None:
+            i = index.setdefault((k, x), len(index))
+            if i == len(low):
+                low.append(d)
+                high.append(d)
+            else:
+                high[i] = d
+
+        for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(key) else ():
             own = self.keys(h)
             where = np.minimum(np.searchsorted(key, own), len(key) - 1)
             hit = np.flatnonzero(key[where] == own)
-            text = data[base : edge[j]].tobytes()
-            for a, b, k, warm in zip(first[hit].tolist(), last[hit].tolist(), own[hit].tolist(), hot[where[hit]].tolist(), strict=True):
+            docs = doc[np.searchsorted(edge, base + first[hit], "right") - 1]
+            text = part.tobytes()
+            for a, b, k, warm, d in zip(first[hit].tolist(), last[hit].tolist(), own[hit].tolist(), hot[where[hit]].tolist(), docs.tolist(), strict=True):
                 if warm:
                     for w in range(a, b + 1):
-                        x = text[w : w + self.length]
-                        which.append(index.setdefault((xxhash.xxh64_intdigest(x), x), len(index)))
-                        at.append(base + w)
+                        keep(k, text[w : w + self.length], d)
                 else:
-                    which.append(index.setdefault((k, text[a : b + self.length]), len(index)))
-                    at.append(base + a)
+                    keep(k, text[a : b + self.length], d)
         keys = np.fromiter((k for k, _ in index), U64, len(index))
-        shard = (mix(keys) % U64(self.shards)).astype(np.int32)
         texts = [x for _, x in index]
+        warm = hot[np.searchsorted(key, keys)] if len(key) else np.zeros(0, bool)
+        heads = keys.copy()
+        for i in np.flatnonzero(warm).tolist():
+            heads[i] = xxhash.xxh64_intdigest(texts[i])
+        shard = (mix(heads) % U64(self.shards)).astype(np.int32)
         size = np.fromiter(map(len, texts), U32, len(index))
         by = np.argsort(shard, kind="stable")
-        new = np.empty(len(by), np.int64)
-        new[by] = np.arange(len(by))
         e = edges(shard[by])
-        which_, at_ = new[np.array(which, np.int64)], np.array(at, np.int64)
-        order = np.argsort(which_, kind="stable")
-        which_, at_ = which_[order], at_[order]
-        row = np.searchsorted(edge, at_, "right") - 1
-        f = np.searchsorted(which_, e)
-        local = which_ - e[np.searchsorted(e, which_, "right") - 1] if len(which_) else which_
+        low_, high_ = np.array(low, np.int64), np.array(high, np.int64)
         return pack(
             shard=shard[by][e[:-1]], block=np.full(len(e) - 1, table.column("block")[0].as_py(), np.int32),
             text=packed(binary([b"".join(texts[k] for k in by[i:j].tolist()) for i, j in zip(e[:-1], e[1:], strict=True)])),
-            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)),
-            which=packed(cut(local.astype(U32), f)), row=packed(cut(row.astype(U32), f)), at=packed(cut((at_ - edge[row]).astype(U32), f)), doc=packed(cut(doc[row], f)),
+            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)), hot=packed(cut(warm[by], e)), low=packed(cut(low_[by], e)), high=packed(cut(high_[by], e)),
         )
 
     def smallest(self, texts: list[bytes], docs: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
@@ -236,88 +255,117 @@ class Dedup:
         out[at[of[sa]] + sa - start[of[sa]]] = least
 
     def marks(self, table: pa.Table) -> pa.Table:
-        """Of a shard's stretches the parts that a smaller document has, by block."""
-        column = {c: unpacked(table.column(c)) for c in ("text", "sizes", "keys", "which", "row", "at", "doc")}
+        """For each block the windows of its stretches that a document smaller than its last one with them has, and the smallest that has them."""
+        column = {c: unpacked(table.column(c)) for c in ("text", "sizes", "keys", "hot", "low", "high")}
         index: dict[tuple[int, bytes], int] = {}
         which = []
-        for text, sizes, keys, local in zip(*(column[c] for c in ("text", "sizes", "keys", "which")), strict=True):
+        for text, sizes, keys in zip(*(column[c] for c in ("text", "sizes", "keys")), strict=True):
             stop = np.cumsum(np.frombuffer(sizes, U32), dtype=np.int64).tolist()
-            ids = [index.setdefault((k, text[i:j]), len(index)) for k, i, j in zip(np.frombuffer(keys, U64).tolist(), [0, *stop], stop)]
-            which.append(np.array(ids, np.int64)[np.frombuffer(local, U32)])
+            which.append(np.array([index.setdefault((k, text[i:j]), len(index)) for k, i, j in zip(np.frombuffer(keys, U64).tolist(), [0, *stop], stop)], np.int64))
         block = np.repeat(np.asarray(table.column("block").combine_chunks()), list(map(len, which)))
-        which, row, first, doc = np.concatenate(which), join(column["row"], U32), join(column["at"], U32).astype(np.int64), join(column["doc"], np.int64)
+        which, hot, low, high = np.concatenate(which), join(column["hot"], bool), join(column["low"], np.int64), join(column["high"], np.int64)
         texts, keys = [x for _, x in index], np.fromiter((k for k, _ in index), U64, len(index))
+        names = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         windows = size - self.length + 1
         at = np.cumsum(windows) - windows
-        own = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(own, which, doc)
+        own, warm = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), bool)
+        np.minimum.at(own, which, low)
+        warm[which] = hot
         least = np.repeat(own, windows)  # right for an anchor with one stretch
-        by = np.argsort(keys, kind="stable")
-        e = edges(keys[by])
+        group = np.where(warm, names, keys)
+        by = np.lexsort((names, group))
+        e = edges(group[by])
         many = np.flatnonzero(np.diff(e) > 1)
         chunk: list[int] = []
         held = 0
         for g in many.tolist():
-            group = by[e[g] : e[g + 1]].tolist()
-            more = sum(len(texts[k]) for k in group)
+            some = by[e[g] : e[g + 1]].tolist()
+            more = sum(len(texts[k]) for k in some)
             if chunk and held + more > CHUNK:
                 self.smallest([texts[k] for k in chunk], own[chunk], least, at[chunk])
                 chunk, held = [], 0
-            chunk += group
+            chunk += some
             held += more
         if chunk:
             self.smallest([texts[k] for k in chunk], own[chunk], least, at[chunk])
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out, of = [], []
         for i in range(0, len(which), 1 << 16):
             w = which[i : i + (1 << 16)]
             n = windows[w]
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[np.repeat(at[w], n) + nth] < np.repeat(doc[i : i + (1 << 16)], n)
-            begins = gone & np.concatenate([[True], ~gone[:-1] | (nth[1:] == 0)])
-            stops = gone & np.concatenate([~gone[1:] | (nth[1:] == 0), [True]])
-            occ = np.repeat(np.arange(i, i + len(w)), n)
+            here = least[np.repeat(at[w], n) + nth]
+            gone = here < np.repeat(high[i : i + (1 << 16)], n)
+            begins = gone & np.concatenate([[True], ~gone[:-1] | (nth[1:] == 0) | (here[1:] != here[:-1])])
+            stops = gone & np.concatenate([begins[1:] | ~gone[1:] | (nth[1:] == 0), [True]])
             b, s = np.flatnonzero(begins), np.flatnonzero(stops)
-            for x, y in zip(out, (block[occ[b]], row[occ[b]], first[occ[b]] + nth[b], first[occ[s]] + nth[s] + self.length), strict=True):
-                x.append(y)
-        block, row, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        by = np.argsort(block, kind="stable")
-        e = edges(block[by])
-        return pack(block=block[by][e[:-1]].astype(np.int32), row=cut(row[by].astype(U32), e), first=cut(first[by].astype(U32), e), last=cut(last[by].astype(U32), e))
+            occ = np.repeat(np.arange(len(w)), n)[b]
+            rows = np.zeros(len(b), REPLY)
+            rows["key"], rows["name"], rows["hot"] = keys[w[occ]], names[w[occ]], warm[w[occ]]
+            rows["first"], rows["last"], rows["least"] = nth[b], nth[s], here[b]
+            out.append(rows)
+            of.append(block[i + occ])
+        rows, of = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out, REPLY), (of, np.int32)))
+        by = np.argsort(of, kind="stable")
+        e = edges(of[by])
+        return pack(block=of[by][e[:-1]].astype(np.int32), reply=packed(cut(rows[by], e)))
 
     def remove(self, table: pa.Table, marks: pa.Table) -> pa.Table:
         """What is left of a block's documents."""
-        doc, data, edge = ordered(table)
-        row, first, last = (join(marks.column(c).to_pylist(), U32).astype(np.int64) for c in ("row", "first", "last"))
-        step = np.zeros(len(data) + 1, np.int32)
-        np.add.at(step, edge[row] + first, 1)
-        np.add.at(step, edge[row] + last, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        inner = edge[:-1][edge[:-1] < edge[1:]]
-        begins[inner] = gone[inner]
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[edge])
-        removed = total(gone)
-        digest, spans = [], []
-        for i, j, n in zip(edge[:-1].tolist(), edge[1:].tolist(), removed.tolist(), strict=True):
-            digest.append(hashlib.sha256(data[i:j][~gone[i:j]] if n else data[i:j]).hexdigest())
-            edge_ = np.flatnonzero(np.diff(gone[i:j].view(np.int8), prepend=0, append=0)) if n else np.zeros(0, np.int64)
-            spans.append(edge_.tolist())
-        return pack(doc_id=doc, n_bytes=np.diff(edge), n_removed=removed, n_spans=total(begins), kept_sha256=digest, spans=pa.array(spans, pa.list_(pa.int64())))
+        doc, row_key, data, edge = ordered(table)
+        replies = np.concatenate([np.frombuffer(x, REPLY) for x in unpacked(marks.column("reply"))] or [np.zeros(0, REPLY)])
+        some, where = np.unique(replies["key"], return_index=True)
+        hot = replies["hot"][where]
+        known: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for k, name, a, b, least in zip(*(replies[c].tolist() for c in ("key", "name", "first", "last", "least")), strict=True):
+            known.setdefault((k, name), []).append((a, b, least))
+        spans: list[list[int]] = [[] for _ in doc]
+        digest = xxhash.xxh64_intdigest
+        for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(some) else ():
+            own = self.keys(h)
+            where = np.minimum(np.searchsorted(some, own), len(some) - 1)
+            hit = np.flatnonzero(some[where] == own)
+            row = np.searchsorted(edge, base + first[hit], "right") - 1
+            text = part.tobytes()
+            for a, b, k, warm, r, d, start in zip(*(x.tolist() for x in (first[hit], last[hit], own[hit], hot[where[hit]], row, doc[row], base - edge[row])), strict=True):
+                mine = spans[r]
+                if warm:
+                    found = [(w - a, w - a, least) for w in range(a, b + 1) for _, _, least in known.get((k, digest(text[w : w + self.length])), ())]
+                else:
+                    found = known.get((k, digest(text[a : b + self.length])), ())
+                for i, j, least in found:
+                    if least < d:
+                        i, j = start + a + i, start + a + j + self.length
+                        if mine and i <= mine[-1]:
+                            mine[-1] = max(mine[-1], j)
+                        else:
+                            mine += (i, j)
+        digests, removed = [], []
+        for i, j, mine in zip(edge[:-1].tolist(), edge[1:].tolist(), spans, strict=True):
+            sha, at = hashlib.sha256(), i
+            for a, b in zip(mine[::2], mine[1::2]):
+                sha.update(data[at : i + a])
+                at = i + b
+            sha.update(data[at:j])
+            digests.append(sha.hexdigest())
+            removed.append(sum(mine[1::2]) - sum(mine[::2]))
+        return pack(
+            doc_id=doc, key=row_key, n_bytes=np.diff(edge), n_removed=np.array(removed, np.int64), n_spans=np.array([len(x) // 2 for x in spans], np.int64), kept_sha256=digests,
+            spans=pa.array(spans, pa.list_(pa.int64())),
+        )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (where the removed runs begin and end) of each row.
+    """doc_id, key, n_bytes, n_removed, n_spans, kept_sha256 and spans (where the removed runs begin and end) of each row.
 
     A byte goes if a `length`-byte string that covers it also starts in a document with a smaller doc_id; rows
-    with one doc_id are one document to each other. Null or empty text: nothing to remove. Empty table: no rows.
+    with one doc_id are one document to each other. Null doc_id: the largest id. Null or empty text: nothing to
+    remove. Rows that are the same throughout are worked on once. Empty table: no rows.
     """
-    rows = keyed(docs)
-    n = n_blocks(rows)
-    blocks = in_blocks(rows, n)
-    job = Dedup(n_blocks(rows, SHARD_BYTES), length, k, hot)
+    total, rows, several = plan(keyed(docs))
+    blocks = in_blocks(rows, parts_of(total, BLOCK_BYTES))
+    job = Dedup(parts_of(total, SHARD_BYTES), length, k, hot)
     by_block = blocks.groupBy("block")
     shared = by_block.applyInArrow(lambda t: job.anchors(t), ANCHORS).groupBy("bucket").applyInArrow(lambda t: job.shared(t), SHARED)
     marks = by_block.cogroup(shared.groupBy("block")).applyInArrow(lambda t, r: job.stretches(t, r), STRETCHES).groupBy("shard").applyInArrow(lambda t: job.marks(t), MARKS)
-    return by_block.cogroup(marks.groupBy("block")).applyInArrow(lambda t, r: job.remove(t, r), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return again(by_block.cogroup(marks.groupBy("block")).applyInArrow(lambda t, r: job.remove(t, r), KEPT), several)
