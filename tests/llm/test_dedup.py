@@ -78,6 +78,7 @@ def test_repeats_in_slices(hot, slab, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK", 3000)
     monkeypatch.setattr(substring_dedup, "MERGED", 500)
     monkeypatch.setattr(substring_dedup, "SLAB", slab)
+    monkeypatch.setattr(substring_dedup, "HELD", 40)
     texts = awkward()
     assert in_turn(texts, substring_dedup.Dedup(3, 50, 20, hot), 4)[0] == repeats(texts)
 

@@ -28,7 +28,7 @@ from vecloom.llm.common import BLOCK_BYTES, again, ends, in_blocks, keyed, parts
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
-HOT, PIECE, SLAB, CHUNK, SHARD_BYTES, MERGED = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20, 1 << 20
+HOT, PIECE, SLAB, CHUNK, SHARD_BYTES, MERGED, HELD = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20, 1 << 20, 1 << 19
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 U32, U64 = np.uint32, np.uint64
 
@@ -199,7 +199,7 @@ class Dedup:
         key, hot = key[by], hot[by]
         doc, _, data, edge = ordered(table)
         index: dict[tuple[int, bytes], int] = {}
-        low, high, heads = [], [], []  # documents come in ascending order
+        low, high, sent = [], [], []  # documents come in ascending order
 
         def keep(k: int, x: bytes, d: int) -> None:
             i = index.setdefault((k, x), len(index))
@@ -209,7 +209,17 @@ class Dedup:
             else:
                 high[i] = d
 
+        def flush() -> None:
+            keys = np.fromiter((k for k, _ in index), U64, len(index))
+            warm = hot[np.searchsorted(key, keys)] if len(key) else np.zeros(0, bool)
+            sent.append(self.by_shard([x for _, x in index], keys, warm, np.array(low, np.int64), np.array(high, np.int64), table.column("block")[0].as_py()))
+            index.clear()
+            low.clear()
+            high.clear()
+
         for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(key) else ():
+            if len(index) > HELD:
+                flush()
             own = self.keys(h)
             where = np.minimum(np.searchsorted(key, own), len(key) - 1)
             hit = np.flatnonzero(key[where] == own)
@@ -221,21 +231,22 @@ class Dedup:
                         keep(k, text[w : w + self.length], d)
                 else:
                     keep(k, text[a : b + self.length], d)
-        keys = np.fromiter((k for k, _ in index), U64, len(index))
-        texts = [x for _, x in index]
-        warm = hot[np.searchsorted(key, keys)] if len(key) else np.zeros(0, bool)
+        flush()
+        return pa.concat_tables(sent)
+
+    def by_shard(self, texts: list[bytes], keys: np.ndarray, warm: np.ndarray, low: np.ndarray, high: np.ndarray, block: int) -> pa.Table:
+        """A row for each shard with the stretches that go there."""
         heads = keys.copy()
         for i in np.flatnonzero(warm).tolist():
             heads[i] = xxhash.xxh64_intdigest(texts[i])
         shard = (mix(heads) % U64(self.shards)).astype(np.int32)
-        size = np.fromiter(map(len, texts), U32, len(index))
+        size = np.fromiter(map(len, texts), U32, len(texts))
         by = np.argsort(shard, kind="stable")
         e = edges(shard[by])
-        low_, high_ = np.array(low, np.int64), np.array(high, np.int64)
         return pack(
-            shard=shard[by][e[:-1]], block=np.full(len(e) - 1, table.column("block")[0].as_py(), np.int32),
+            shard=shard[by][e[:-1]], block=np.full(len(e) - 1, block, np.int32),
             text=packed(binary([b"".join(texts[k] for k in by[i:j].tolist()) for i, j in zip(e[:-1], e[1:], strict=True)])),
-            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)), hot=packed(cut(warm[by], e)), low=packed(cut(low_[by], e)), high=packed(cut(high_[by], e)),
+            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)), hot=packed(cut(warm[by], e)), low=packed(cut(low[by], e)), high=packed(cut(high[by], e)),
         )
 
     def smallest(self, texts: list[bytes], docs: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
@@ -316,30 +327,34 @@ class Dedup:
         replies = np.concatenate([np.frombuffer(x, REPLY) for x in unpacked(marks.column("reply"))] or [np.zeros(0, REPLY)])
         some, where = np.unique(replies["key"], return_index=True)
         hot = replies["hot"][where]
-        known: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for k, name, a, b, least in zip(*(replies[c].tolist() for c in ("key", "name", "first", "last", "least")), strict=True):
-            known.setdefault((k, name), []).append((a, b, least))
+        replies = replies[np.lexsort((replies["first"], replies["name"]))]
         spans: list[list[int]] = [[] for _ in doc]
         digest = xxhash.xxh64_intdigest
         for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(some) else ():
             own = self.keys(h)
             where = np.minimum(np.searchsorted(some, own), len(some) - 1)
             hit = np.flatnonzero(some[where] == own)
-            row = np.searchsorted(edge, base + first[hit], "right") - 1
-            text = part.tobytes()
-            for a, b, k, warm, r, d, start in zip(*(x.tolist() for x in (first[hit], last[hit], own[hit], hot[where[hit]], row, doc[row], base - edge[row])), strict=True):
+            text, names, at, keys = part.tobytes(), [], [], []
+            for a, b, k, warm in zip(first[hit].tolist(), last[hit].tolist(), own[hit].tolist(), hot[where[hit]].tolist(), strict=True):
+                for x, y in ((w, w) for w in range(a, b + 1)) if warm else ((a, b),):
+                    names.append(digest(text[x : y + self.length]))
+                    at.append(x)
+                    keys.append(k)
+            names_, at_, keys_ = np.array(names, U64), np.array(at, np.int64), np.array(keys, U64)
+            lo, hi = np.searchsorted(replies["name"], names_), np.searchsorted(replies["name"], names_, "right")
+            n = hi - lo
+            of = np.repeat(np.arange(len(n)), n)
+            found = replies[lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
+            row = np.searchsorted(edge, base + at_[of], "right") - 1
+            gone = (found["key"] == keys_[of]) & (found["least"] < doc[row])
+            begin = base + at_[of] - edge[row] + found["first"]
+            end = begin + (found["last"].astype(np.int64) - found["first"]) + self.length
+            for r, i, j in zip(row[gone].tolist(), begin[gone].tolist(), end[gone].tolist(), strict=True):  # beginnings ascend
                 mine = spans[r]
-                if warm:
-                    found = [(w - a, w - a, least) for w in range(a, b + 1) for _, _, least in known.get((k, digest(text[w : w + self.length])), ())]
+                if mine and i <= mine[-1]:
+                    mine[-1] = max(mine[-1], j)
                 else:
-                    found = known.get((k, digest(text[a : b + self.length])), ())
-                for i, j, least in found:
-                    if least < d:
-                        i, j = start + a + i, start + a + j + self.length
-                        if mine and i <= mine[-1]:
-                            mine[-1] = max(mine[-1], j)
-                        else:
-                            mine += (i, j)
+                    mine += (i, j)
         digests, removed = [], []
         for i, j, mine in zip(edge[:-1].tolist(), edge[1:].tolist(), spans, strict=True):
             sha, at = hashlib.sha256(), i
