@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -248,14 +249,51 @@ def test_similar_texts_are_one_group(spark):
     assert simhash.similar(frame(spark, [])).count() == 0
 
 
-def test_many_prints_agree_with_counting_bits():
-    for text in (b"", b"a", b"a b c d e f g h i j", b"x " * 700):
-        w = text.split()
-        for n, size in ((3, 2), (2, 5)):
-            prints = simhash.many_prints(text, size, n)
-            assert len(prints) == n and (any(prints) == bool(w)) and prints == simhash.many_prints(text.upper(), size, n)
-    a, b = (simhash.many_prints(t, 2, 8) for t in (b"w" * 3 + b" one two three", b"other words entirely here"))
-    assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)) > 150
+def test_manhattan_distance_of_embeddings():
+    r = np.random.default_rng(5)
+    x, y = (r.integers(0, 2**63, 400, np.uint64) for _ in range(2))
+    y[:200] = x[:200] ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))
+    counts = lambda v: (np.unpackbits(v.astype(">u8").view(np.uint8)).reshape(-1, 32, 2)).sum(axis=2).astype(int)
+    got = np.bitwise_count(simhash.unary(x) ^ simhash.unary(y))
+    assert (got == np.abs(counts(x) - counts(y)).sum(axis=1)).all() and (got <= np.bitwise_count(x ^ y)).all() and (got < np.bitwise_count(x ^ y)).any()
+
+
+def test_fingerprints_of_shingles_agree():
+    for t in (b"", b"a", b"a b", *[x.encode() for x in prose(5, 20)]):
+        assert simhash.print_of(simhash.shingle_hashes(t, 3)) == int.from_bytes(simhash.fingerprint(t), signed=True)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_similar(texts):
+    """The component of each row by comparing all pairs of sets of shingles."""
+    split = lambda t: (t or "").lower().split()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split(t)) else set() for _, t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    return {frozenset(i for i in range(len(texts)) if root[i] == x) for x in set(root)}
+
+
+def test_similar_against_all_pairs(spark):
+    r, base = random.Random(4), prose(90, 12, 120)
+    texts = list(enumerate(base)) + [(None, None), (None, ""), (None, base[0]), (None, base[1] + " more"), (3, base[5]), (3, base[6].upper())]
+    for k in range(60):
+        w = r.choice(base).split()
+        at, n = r.randrange(len(w)), r.randint(0, max(1, len(w) // 9))
+        texts.append((100 + k, " ".join(w[:at] + ["new"] * r.randint(0, 3) + w[at + n :])))
+    found = simhash.similar(frame(spark, texts)).collect()
+    keys = {(x.doc_id, x.key): (x.component_id, x.component_key) for x in found}
+    key_of = {r.text: r.k for r in spark.createDataFrame([(t or "",) for _, t in texts], "text string").selectExpr("text", "xxhash64(text) k").collect()}
+    groups = {}
+    for i, (d, t) in enumerate(texts):
+        groups.setdefault(keys[NULL_ID if d is None else d, key_of[t or ""]], set()).add(i)
+    assert len(found) == len(texts) and set(map(frozenset, groups.values())) == brute_similar(texts)
 
 
 def five_words(text):
@@ -264,8 +302,6 @@ def five_words(text):
 
 
 def test_contiguous_edits_at_the_limit(spark):
-    import random
-
     r, texts, pairs = random.Random(8), [], {}
     for k in range(40):
         word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
@@ -283,8 +319,8 @@ def test_contiguous_edits_at_the_limit(spark):
 def test_pairs_of_one_band_that_its_first_does_not_link(spark, monkeypatch):
     w = [f"w{i}" for i in range(1000)]
     texts = [(1, w[:600] + w[800:]), (2, w[:800]), (3, w[:810]), (4, w[100:600] + w[800:])]
-    monkeypatch.setattr(simhash, "band_keys", lambda shingles: list(range(simhash.BANDS)))
-    monkeypatch.setattr(simhash, "LIMIT", 2)
+    monkeypatch.setattr(simhash, "band_keys", lambda least: list(range(simhash.BANDS)))
+    monkeypatch.setattr(simhash, "BLOCK", 2)
     got = {x.doc_id: x.component_id for x in simhash.similar(frame(spark, [(d, " ".join(x)) for d, x in texts])).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 1}
 

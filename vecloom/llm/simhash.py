@@ -4,8 +4,12 @@ The 64 bits of a fingerprint are cut in segments; its embedding holds how many b
 Manhattan distance of two embeddings is never above their fingerprints' Hamming distance. Cut the embedding
 in four parts: within distance three, one part at least doesn't differ, so the grid cells are the values of a
 part, and every pair within three shares a cell. A cell with more than LIMIT fingerprints is cut again: what
-is left of the fingerprint is in four parts, of one-bit segments, one of which doesn't differ either. Cells
-small enough are compared exactly. Each gives a spanning forest of its links, never all pairs.
+is left of the fingerprint is in four parts, of one-bit segments (whose Manhattan distance is the Hamming
+distance), one of which doesn't differ either. In a cell the Manhattan distance of the whole embeddings rules
+pairs out, what is left is verified by all bits. A cell gives a spanning forest of its links, never all pairs.
+
+similar() decides by the shingles' Jaccard similarity. Fingerprints within three bits are too few candidates for
+that (a pair at 0.8 has a chance below 0.01), so minima of the shingles' hashes (MinHash) add to them.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from vecloom.llm.common import NULL_ID, ends, keyed, settle, shuffle_partitions,
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 LEVELS, BLOCK, STRIPE = 4, 8192, 128
 SHINGLES = 1 << 16
-BANDS, ROWS = 24, 5
+BANDS, ROWS, SURE = 24, 5, 3.3
+LINK = "struct<doc_id: bigint, key: bigint>"
 #: What each of the minima mixes the shingles' hashes with: a mask and an odd factor.
 MIX = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
 
@@ -54,25 +59,6 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
 
 
-def many_prints(text: bytes, words: int, n: int, seed: int = 42) -> list[int]:
-    """n fingerprints of a text, each of hashes made from the shingles' XXH64 by another mixing."""
-    found = text.lower().split()
-    if not found:
-        return [0] * n
-    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
-    start = np.cumsum(size + 1) - size - 1
-    k = max(1, len(found) - words + 1)
-    begin, end = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist()
-    count, digest = np.zeros((n, BITS), np.int64), xxhash.xxh64_digest
-    for i in range(0, k, SHINGLES):
-        h = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(begin[i : i + SHINGLES], end[i : i + SHINGLES], strict=True)]), np.uint64)
-        for s in range(n):
-            g = (h ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            g = (g ^ (g >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            count[s] += bit_counts((g ^ (g >> np.uint64(29))).view(np.uint8))
-    return np.packbits(2 * count > k, axis=1).view(">i8").ravel().tolist()
-
-
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id (null: the largest), key (tells rows of one doc_id apart) and the fingerprint of each row."""
 
@@ -101,13 +87,24 @@ def cell(name: str, bits: list[int], width: int) -> Column:
     return out
 
 
+def unary(prints: np.ndarray) -> np.ndarray:
+    """Embeddings in segments of two bits, each count (0 to 2) in unary: the bits in which two differ are their Manhattan distance."""
+    odd, one = np.uint64(0x5555555555555555), np.uint64(1)
+    return ((prints & (prints >> one) & odd) << one) | ((prints | (prints >> one)) & odd)
+
+
 def forest(prints: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among these fingerprints, in stripes of rows; no matrix of all pairs is made."""
+    """Links of a spanning forest among these fingerprints, in stripes of rows; no matrix of all pairs is made.
+
+    Pairs within the distance by the embeddings' Manhattan distance, a lower bound, are verified by their bits.
+    """
     order = np.argsort(ids, kind="stable")
     prints, ids = prints[order], ids[order]
-    label, none = np.arange(len(ids)), len(ids)
+    embedded, label, none = unary(prints), np.arange(len(ids)), len(ids)
     for i in range(0, len(ids), STRIPE):
-        near = np.bitwise_count(prints[i : i + STRIPE, None] ^ prints[None, :]) <= distance
+        near = np.bitwise_count(embedded[i : i + STRIPE, None] ^ embedded[None, :]) <= distance
+        a, b = np.nonzero(near)
+        near[a, b] = np.bitwise_count(prints[i + a] ^ prints[b]) <= distance
         near = near[near.sum(axis=1) > 1]
         while len(near):
             row = np.where(near, label, none).min(axis=1)
@@ -149,16 +146,17 @@ def leaves(distance: int):
     return run
 
 
-def blocks(cells: DataFrame, counts: DataFrame) -> DataFrame:
-    """Cells of over BLOCK rows as cells of each two of their blocks (by a hash of the fingerprint); smaller ones as they are."""
+def blocks(cells: DataFrame, counts: DataFrame, by: str = "print") -> DataFrame:
+    """Cells of over BLOCK rows as cells of each two of their blocks (by a hash of a column); smaller ones as they are."""
     large = settle(counts.where(F.col("count") > BLOCK))
     if large.isEmpty():
         return cells
     many = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = cells.join(large, "cell").withColumn("many", many).withColumn("b", F.pmod(F.xxhash64("print"), "many").cast("int"))
+    dealt = cells.join(large, "cell").withColumn("many", many).withColumn("b", F.pmod(F.xxhash64(by), "many").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     pair = F.xxhash64("cell", F.least("b", "other"), F.greatest("b", "other")).alias("cell")
-    return cells.join(large, "cell", "left_anti").select("cell", "print", "first").unionByName(dealt.select(pair, "print", "first"))
+    columns = [c for c in cells.columns if c != "cell"]
+    return cells.join(large, "cell", "left_anti").select("cell", *columns).unionByName(dealt.select(pair, *columns))
 
 
 def near_links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -186,7 +184,7 @@ def near_links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
         any_large = large is not None and not large.isEmpty()
         small = cut.join(large, "cell", "left_anti") if any_large else cut
         if level == LEVELS:
-            small = blocks(small, counts)
+            small = blocks(small.select("cell", "print", "first"), counts)
         found = small.select("cell", "print", "first").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(leaves(distance), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not any_large:
@@ -225,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
     return prints.join(named, "print").select("doc_id", "key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """The XXH64 of a text's shingles, each once, sorted. Fewer words than a shingle: the whole sequence; no words: none."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of a text's shingles. Fewer words than a shingle: the whole sequence; no words: none."""
     found = text.lower().split()
     if not found:
         return np.zeros(0, np.uint64)
@@ -234,15 +232,20 @@ def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     start = np.cumsum(size + 1) - size - 1
     k = max(1, len(found) - words + 1)
     begin, end, digest = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist(), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, k))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, k)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A hash of each band's ROWS least values, each under another mixing. Sets alike to J share a band's with chance J ** ROWS."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each of BANDS * ROWS mixings."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(shingles), 1024):
         g = (shingles[None, i : i + 1024] ^ MIX[:, :1]) * MIX[:, 1:]
         least = np.minimum(least, (g ^ (g >> np.uint64(32))).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A hash of each band's ROWS minima. Sets alike to J share a band's with chance J ** ROWS."""
     raw = least.tobytes()
     return [xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)]
 
@@ -253,24 +256,42 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
 
+SKETCH = "doc_id long, key long, s1 long, s2 long, n long, bands array<long>, print long, marks binary"
+
+
 def sketches(words: int):
-    """Of each text: two hashes and the size of its set of shingles, and its bands."""
+    """Of each text: two hashes and the size of its set of shingles, its bands, its fingerprint, and a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = strings(b.column(2))
-            names, size, bands = [], [], []
+            names, size, bands, prints, marks = [], [], [], [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                x = shingle_set(data[i:j].tobytes(), words)
+                h = shingle_hashes(data[i:j].tobytes(), words)
+                x = np.unique(h)
+                least = minima(x)
                 names.append(xxhash.xxh3_128_digest(x.tobytes()))
                 size.append(len(x))
-                bands.append(np.array(band_keys(x) if len(x) else [], np.uint64))
+                bands.append(np.array(band_keys(least) if len(x) else [], np.uint64))
+                prints.append(print_of(h))
+                marks.append(least.astype(np.uint8).tobytes())
             s = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(size, pa.int64()), lists(bands)], ["doc_id", "key", "s1", "s2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(size, pa.int64()), lists(bands), pa.array(prints, pa.int64()), pa.array(marks, pa.binary())],
+                [x.split()[0] for x in SKETCH.split(", ")],
+            )
 
     return run
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of these shingles, signed; of none: zero."""
+    count = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), SHINGLES):
+        count += bit_counts(hashes[i : i + SHINGLES].astype(">u8").view(np.uint8))
+    return int(np.packbits(2 * count > len(hashes)).view(">i8")[0])
+
+
 def sets_of(words: int):
     """The set of shingles of each text, in batches of about 4 MB of text."""
 
@@ -278,7 +299,7 @@ def sets_of(words: int):
         for b in batches:
             data, at = strings(b.column(2))
             for i, j in slabs(at, 4 << 20):
-                rows = [shingle_set(data[x:y].tobytes(), words) for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
+                rows = [np.unique(shingle_hashes(data[x:y].tobytes(), words)) for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), lists(rows)], ["doc_id", "key", "shingles"])
 
     return run
@@ -291,39 +312,92 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(common / (F.size("u_set") + F.size("v_set") - common) >= similarity).select("u", "v")
 
 
+def likely(similarity: float):
+    """Pairs of a partition's nodes, sorted by cell, that are of one cell and different roots, and have nearly as many
+    minima in common as sets of this similarity: `SURE` standard deviations less at most. Stripes of rows are compared."""
+    all_ = BANDS * ROWS
+    least = all_ * similarity - SURE * (all_ * similarity * (1 - similarity)) ** 0.5
+
+    def pairs(node: pa.Array, root: np.ndarray, n: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        common = np.bincount(root).argmax()  # its nodes are compared with the others' only
+        others = np.flatnonzero(root != common)
+        for i in range(0, len(others), STRIPE):
+            rows = others[i : i + STRIPE]
+            same = np.zeros((len(rows), len(root)), np.uint8)
+            for k in range(all_):
+                same += marks[rows, k, None] == marks[None, :, k]
+            mine = root[rows, None]
+            a, b = np.nonzero((same >= least) & (mine != root) & ((root == common) | (mine < root)))
+            a = rows[a]
+            alike_ = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            if alike_.any():
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a[alike_])), node.take(pa.array(b[alike_]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for last, b in ends(batches):
+            if b is not None and b.num_rows:
+                t = pa.Table.from_batches([b])
+                kept = t if kept is None or not len(kept) else pa.concat_tables([kept, t])
+            if kept is None or not len(kept):
+                continue
+            cell_ = np.asarray(kept.column("cell"))
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(cell_)) + 1, [len(cell_)]])
+            whole = len(edge) - 1 if last else len(edge) - 2
+            for i, j in zip(edge[:whole].tolist(), edge[1 : whole + 1].tolist(), strict=True):
+                part = kept.slice(i, j - i).combine_chunks()
+                root = np.unique(np.asarray(part.column("root")), return_inverse=True)[1]
+                marks = np.frombuffer(b"".join(part.column("marks").to_pylist()), np.uint8).reshape(j - i, all_)
+                yield from pairs(part.column("node").combine_chunks(), root, np.asarray(part.column("n")), marks)
+            kept = kept.slice(int(edge[whole]))
+
+    return run
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, key, component_id and component_key of each row, for texts whose shingles of `words` words are `similarity` alike (Jaccard).
 
-    Texts with one set of shingles are one node, named by the least (doc_id, key). Candidates share one of BANDS
-    bands of ROWS minima (MinHash); whatever the edit, a pair at 0.8 shares none with chance (1 - 0.8 ** 5) ** 24,
-    under 1 in 10,000. Each candidate pair is compared by its sets of shingles (as 64-bit hashes): first each band's
-    first node with its others, then all pairs of one band that these links don't connect. So no estimate decides.
+    Texts with one set of shingles are one node, named by the least (doc_id, key). Candidates have fingerprints
+    within DISTANCE bits, or share one of BANDS bands of ROWS minima; whatever the edit, a pair at 0.8 shares no band
+    with chance (1 - 0.8 ** 5) ** 24, under 1 in 10,000. Each candidate pair is compared by its sets of shingles (as
+    64-bit hashes): first the links of fingerprints, and each band's first node with its others. Where these leave a
+    band's nodes in several components, those of different ones are candidates if enough of their minima are the
+    same (likely(); a pair at 0.8 fails that with chance under 1 in 1,000). No estimate makes a link.
     Component: the least (doc_id, key) in it. Texts without words are alike. Null doc_id: the largest id. Empty table: no rows.
     """
     rows = keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    prints = settle(rows.mapInArrow(sketches(words), "doc_id long, key long, s1 long, s2 long, n long, bands array<long>"))
+    prints = settle(rows.mapInArrow(sketches(words), SKETCH))
     name = F.struct("doc_id", "key")
-    nodes = settle(prints.groupBy("s1", "s2").agg(F.min(name).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = settle(prints.groupBy("s1", "s2").agg(F.min(name).alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "print", "marks")]))
     of_band = Window.partitionBy("h")
     cells = nodes.select("node", "n", F.explode("bands").alias("h"))
     cells = settle(cells.withColumns({"first": F.min(F.struct("node", "n")).over(of_band), "members": F.count("*").over(of_band)}).where("members > 1"))
-    some = cells.select("node.*").distinct()
-    texts = rows.join(some, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    sets = settle(texts.mapInArrow(sets_of(words), "doc_id long, key long, shingles array<long>").select(name.alias("node"), "shingles"))
 
     def sized(a: str, b: str) -> Column:  # sets of other sizes can't be so alike
         return F.least(a, b) / F.greatest(a, b) >= similarity
 
-    tried = settle(cells.where(F.col("node") != F.col("first.node")).where(sized("first.n", "n")).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct())
+    points = settle(nodes.where("n > 0").groupBy("print").agg(F.min(F.struct("node", "n")).alias("least")))
+    near = near_links(points.select("print", F.col("print").alias("first")))
+    a, b = (points.select(F.col("print").alias(x), F.col("least").alias(f"{x}_least")) for x in "uv")
+    stars = [
+        near.join(a, "u").join(b, "v").select(F.col("u_least").alias("first"), F.col("v_least.node").alias("node"), F.col("v_least.n").alias("n")),
+        nodes.where("n > 0").join(points, "print").select(F.col("least").alias("first"), "node", "n"),
+        cells.select("first", "node", "n"),
+    ]
+    tried = stars[0].unionByName(stars[1]).unionByName(stars[2]).where(F.col("node") != F.col("first.node")).where(sized("first.n", "n"))
+    tried = settle(tried.select(F.least("first.node", "node").alias("u"), F.greatest("first.node", "node").alias("v")).distinct())
+    some = cells.select("node").unionByName(tried.select(F.col("u").alias("node"))).unionByName(tried.select(F.col("v").alias("node"))).select("node.*").distinct()
+    texts = rows.join(some, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    sets = settle(texts.mapInArrow(sets_of(words), "doc_id long, key long, shingles array<long>").select(name.alias("node"), "shingles"))
     links = settle(alike(tried, sets, similarity))
     roots = components(links)
 
-    joined = cells.join(roots, "node", "left").select("h", "node", "n", "members", F.coalesce("root", "node").alias("root"))
-    apart = joined.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    left = settle(joined.join(apart, "h", "left_semi").withColumn("salts", F.ceil(F.col("members") / LIMIT).cast("int")))
-    a = left.select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "root")], F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
-    b = left.select("h", "node", "n", "root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rest = a.join(b, ["h", "salt"]).where("a_node < node and a_root <> root").where(sized("a_n", "n")).select(F.col("a_node").alias("u"), F.col("node").alias("v")).distinct()
+    joined = cells.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    apart = joined.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).where("x <> y").select(F.col("h").alias("cell"), "count")
+    left = settle(joined.withColumnRenamed("h", "cell").join(apart, "cell").join(nodes.select("node", "marks"), "node").select("cell", "node", "n", F.xxhash64("root").alias("root"), "marks", "count"))
+    dealt = blocks(left.drop("count"), left.select("cell", "count").distinct(), "node")
+    rest = dealt.repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(likely(similarity), f"u {LINK}, v {LINK}")
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = settle(alike(settle(rest.join(tried, ["u", "v"], "left_anti")), sets, similarity))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
