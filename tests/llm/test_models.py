@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from llm.helpers import awkward, frame, prose
 
@@ -86,7 +88,7 @@ def toxic_docs(n=300):
     return out
 
 
-def test_toxicity_learns_and_restores(spark):
+def test_toxicity_learns_and_restores(spark, monkeypatch):
     texts = toxic_docs()
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
     model = toxicity.fit(frame(spark, texts), labels, quality.fold(4) != 2)
@@ -94,10 +96,51 @@ def test_toxicity_learns_and_restores(spark):
     got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
     assert np.mean([(s >= 0.3) == (i % 4 == 0) for i, s in got.items()]) > 0.97
     clean = texts[1][1]
-    for word in ("m0r0n", "1d10t", "IDIOT!!", "i d i o t", "s.t.u.p.i.d", "stuuupid", "$tupid", "tr@sh", "id-iot", "mooron", "m*ron"):
+    for word in ("m0r0n", "1d10t", "IDIOT!!", "i d i o t", "s.t.u.p.i.d", "stuuupid", "$tupid", "tr@sh", "id-iot", "mooron", "m*ron", "i d i o t.", '"i d i o t"', "m o ron", "st upid", "tra$h!", "stupi*", "idi*t", "1d107"):
         assert model.score(f"{clean} {word} {clean}") >= 0.3, word
-    for text in ("", "   ", clean, "a@b.example 4111111111111111 | | |"):
+    for text in ("", "   ", clean, "a@b.example 4111111111111111 | | |", "****** *.*.* ***" * 3, "idle stump tray more on"):
         assert model.score(text) < 0.3, text
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    long = f"{clean} st upid {clean} m0r0n {clean} i d i o t " * 3
+    n, hits = model.restorer.hits(long)
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 20)
+    assert (n, sorted(hits)) == (lambda x: (x[0], sorted(x[1])))(model.restorer.hits(long)) and hits.count("stupid") == hits.count("moron") == hits.count("idiot") == 3
+
+
+def all_paths(token):
+    """What a lattice can spell, and the channel's log probability of it."""
+    out = {"": 0.0}
+    for some in toxicity.options(token):
+        new = {}
+        for text, p in out.items():
+            for x, q in some:
+                new[text + x] = max(new.get(text + x, -1e9), p + q)
+        out = new
+    return out
+
+
+def test_decoding_against_all_paths():
+    lexicon = {"moron": 5.0, "idiot": 5.0, "loser": 4.0, "trash": 4.0, "stup*": 3.0}
+    counts = sum(toxicity.triples(x) for x in prose(3, 80)).reshape(toxicity.CLASSES, toxicity.CLASSES, toxicity.CLASSES)
+    own = toxicity.Restorer(counts, lexicon)
+
+    def value(text, channel):
+        a, b, p = 0, 0, channel
+        for c in [*map(toxicity.class_of, text), 0]:
+            p += own.model[a if b else 0, b, c]
+            a, b = b, c
+        return p
+
+    r = random.Random(2)
+    tokens = ["m*r*n", "m**on", "1d1*t", "@$$", "455", "81607", "l.o.s.e.r", "mor on", "i d i o t", "trraassh", "", "...", "stu*", "lo ser", "$tupid"]
+    tokens += ["".join(r.choice("mroonidt10*@.$ |s") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    for t in tokens:
+        paths = {x: value(x, p) for x, p in all_paths(t).items()}
+        got, best = own.decode(t), max(paths.values())
+        assert abs(paths[got] - best) < 1e-9, t
+        spells = any(own.entry(x) for x in paths)
+        assert spells == own.trie.ends(own.trie.walk({0}, toxicity.options(t))), t
+        assert own.restored(t) == (own.entry(got) if spells else None)
 
 
 def test_triples_of_all_documents(spark):

@@ -1,15 +1,15 @@
 """Toxicity by noisy-channel deobfuscation: restore disguised words, then score the restored text.
 
-What a token's characters may stand for is a lattice: digits and signs for letters, a sign between letters or
-a repeated letter for nothing. The Viterbi path through it under a character model is the restored token.
-The model counts character triples of all documents; the lexicon's words have a fixed part in it. The lexicon
-holds the words, and beginnings of words, of labelled toxic rows that occur there, in different surroundings, more often than chance
-allows. A small regression on how many of them the restored text has makes the score. The labelled sample is
-bounded by `most` rows and `most_bytes` (quality.sample).
-
-A token is decoded if it mixes letters with other characters, or repeats a letter; where a letter is only
-doubled, if some lexicon word has the same letters in a row. Single characters with spaces between them, three
-or more, are one token.
+What characters may stand for is a lattice: digits and signs for letters, a sign between letters or a repeated
+letter for nothing, a space between tokens for nothing. The Viterbi path through it under a character model is the
+restored text. The model counts character triples of all documents; the lexicon's words have a fixed part in it. The
+lexicon holds the words, and beginnings of words, of labelled toxic rows that occur there, in different surroundings,
+more often than chance allows. A small regression on how many of them the restored text has makes the score. The
+labelled sample is bounded by `most` rows and `most_bytes` (quality.sample).
+
+Only paths that spell an entry of the lexicon matter. A walk of all paths at once through the lexicon's trie tells
+whether there is one; where there is none, no path need be decoded. The search keeps every state. A run of one sign
+counts as three of it at most. A token of digits alone is a number, unless five or more of them spell a whole word.
 """
 
 from __future__ import annotations
@@ -32,16 +32,19 @@ from vecloom.llm.quality import sample
 MOST, MOST_BYTES = 6000, 32 << 20
 #: Character classes: 0 no letter, a-z, U+00DF to U+00FF, any other letter.
 CLASSES = 1 + 26 + 33 + 1
-LEXICON_SHARE, BEAM, KEPT = 0.3, 48, 500_000
+LEXICON_SHARE, KEPT, RUN, CHUNK = 0.3, 200_000, 3, 1 << 20
 EDGE = ".,;:!?%#&|\"'()[]{}<>~=+*$@-_/\\"
-SIGNS = "@$!|*+"
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c",
 }
 BETWEEN = ".-_*,'~/\\|+:;=#%&^`"
 PREFIXES, EACH = (4, 5), 3
-DOUBLED, TRIPLED = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
-
+#: What can be at an end of a token without standing for a letter.
+NEUTRAL = "".join(c for c in EDGE if c not in LEET and c != "*")
+#: The channel's log probabilities that a space is one, and that it is within a word.
+STAYS, JOINS = -0.05, -1.5
+SPACE = re.compile(r"\s")
+REPEATED = re.compile(r"([^\W\d_])\1")
 
 def class_of(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else ord(c) - 0xDF + 27 if 0xDF <= ord(c) <= 0xFF and c != "÷" else CLASSES - 1 if c.isalpha() else 0
@@ -90,8 +93,62 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 20 * one[None]) / (counts.sum(axis=2, keepdims=True) + 20))
 
 
-def squeeze(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", word)
+class Trie:
+    """The lexicon's words and beginnings (`abcd*`), letter by letter."""
+
+    ANY = -1  # after a beginning: whatever follows
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.whole, self.begins = set(), set()
+        for e in lexicon:
+            n = 0
+            for c in e.rstrip("*"):
+                if c not in self.next[n]:
+                    self.next[n][c] = len(self.next)
+                    self.next.append({})
+                n = self.next[n][c]
+            (self.begins if e[-1] == "*" else self.whole).add(n)
+
+    def walk(self, nodes: set[int], options: Iterator[list[tuple[str, float]]], begins: bool = True) -> set[int]:
+        """Where all paths of a lattice lead from these nodes."""
+        for some in options:
+            new = set()
+            for x, _ in some:
+                if not x:
+                    new |= nodes
+                    continue
+                for n in nodes:
+                    if begins and (n == self.ANY or n in self.begins):
+                        new.add(self.ANY)
+                    if n != self.ANY and x in self.next[n]:
+                        new.add(self.next[n][x])
+            nodes = new
+            if not nodes:
+                break
+        return nodes
+
+    def ends(self, nodes: set[int]) -> bool:
+        return self.ANY in nodes or not self.whole.isdisjoint(nodes)
+
+
+def options(token: str) -> Iterator[list[tuple[str, float]]]:
+    """For each character what it may stand for, and the channel's log probability of that."""
+    before, run = "", 0
+    for c in token:
+        run = run + 1 if c == before else 1
+        if c.isalpha():
+            yield [(c, -0.05 if run == 1 else -0.7)] + ([("", -0.7)] if run > 1 else [])
+        elif c == " ":
+            yield [(" ", STAYS), ("", JOINS)]
+        elif run <= RUN:
+            some = [(x, -3.0) for x in "abcdefghijklmnopqrstuvwxyz"] if c == "*" else [(x, -0.5) for x in LEET.get(c, "")]
+            if c in BETWEEN or not some:
+                some.append(("", -1.0))
+            elif run > 1:
+                some.append(("", -0.9))
+            yield some
+        before = c
 
 
 class Restorer:
@@ -102,58 +159,59 @@ class Restorer:
         model = np.exp(log_model(counts))
         if lexicon:
             model = (1 - LEXICON_SHARE) * model + LEXICON_SHARE * np.exp(log_model(own * 20))
-        self.model, self.lexicon = np.log(model), lexicon
-        self.squeezed = {squeeze(w) for w in lexicon}
-        self.lengths = sorted({len(w) for w in lexicon if w[-1] != "*"})
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def options(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each character what it may stand for, and the channel's log probability of that."""
-        out, before = [], ""
-        for c in token:
-            if c.isalpha():
-                out.append([(c, -0.05 if c != before else -0.7)] + ([("", -0.7)] if c == before else []))
-            else:
-                some = [(x, -0.5) for x in LEET.get(c, "")]
-                if c == "*":
-                    some = [(x, -3.0) for x in "abcdefghijklmnopqrstuvwxyz"]
-                if c in BETWEEN or not some:
-                    some.append(("", -1.0))
-                elif c == before:
-                    some.append(("", -0.9))
-                out.append(some)
-            before = c
-        return out
+        self.model, self.lexicon, self.trie = np.log(model), lexicon, Trie(lexicon)
+        self.longest = max([len(e) for e in lexicon], default=0)
+        self.known: dict[str, tuple[str | None, frozenset[int]]] = {}
 
     def decode(self, token: str) -> str:
-        """The Viterbi path; states are the last two classes."""
+        """The Viterbi path through all states, which are the last two classes. Ties: the state that came first."""
         m = self.model
-        states = {(0, 0): (0.0, "")}
-        for some in self.options(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, text) in states.items():
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for some in options(token):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, path) in states.items():
                 for x, channel in some:
                     if x:
                         c = class_of(x)
-                        key, q, t = (b, c), p + channel + m[a if b else 0, b, c], text + x
+                        key, q, t = (b, c), p + channel + m[a if b else 0, b, c], (path, x)
                     else:
-                        key, q, t = (a, b), p + channel, text
+                        key, q, t = (a, b), p + channel, path
                     if key not in new or new[key][0] < q:
                         new[key] = (q, t)
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda s: -s[1][0])[:BEAM])
             states = new
-        return max((p + m[a if b else 0, b, 0], t) for (a, b), (p, t) in states.items())[1]
+        (_, path), out = max(((p + m[a if b else 0, b, 0], path) for (a, b), (p, path) in states.items()), key=lambda x: x[0]), []
+        while path:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
 
     def entry(self, word: str) -> str | None:
         return next((e for e in entries(word) if e in self.lexicon), None)
 
-    def inside(self, text: str) -> tuple[str, ...]:
-        """Lexicon words within a run of letters."""
-        return tuple(text[i : i + n] for n in self.lengths for i in range(len(text) - n + 1) if text[i : i + n] in self.lexicon)
+    def restored(self, text: str, begins: bool = True) -> str | None:
+        """The entry that a text's best path spells, if any path spells one."""
+        if not self.trie.ends(self.trie.walk({0}, options(text), begins)):
+            return None
+        found = self.entry(self.decode(text))
+        return found if begins or (found and found[-1] != "*") else None
 
-    def words(self, token: str) -> tuple[str, ...]:
-        """The lexicon words that a lower-case token restores to."""
+    def look(self, token: str) -> tuple[str | None, frozenset[int]]:
+        """The entry that a lower-case token restores to, and where its paths lead in the trie if it begins a word that goes on."""
+        core = token.strip(EDGE)
+        found = self.entry(core) if core.isalpha() else None
+        if found is None:
+            forms = dict.fromkeys((core, token.strip(NEUTRAL), token.strip(NEUTRAL + "!"), token.rstrip(EDGE).lstrip(NEUTRAL), token.lstrip(EDGE).rstrip(NEUTRAL)))
+            for text in forms:
+                if not text or text.isalpha() and not REPEATED.search(text):
+                    continue  # one path, which is no entry
+                letters = any(map(str.isalpha, text))
+                if not letters and text.isdigit() and len(text) < 5:
+                    continue
+                if found := self.restored(text, letters):
+                    break
+        return found, frozenset() if found or core.isdigit() else frozenset(self.trie.walk({0}, options(token.lstrip(NEUTRAL)), False) - {0})
+
+    def known_(self, token: str) -> tuple[str | None, frozenset[int]]:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= KEPT:
@@ -161,39 +219,47 @@ class Restorer:
             found = self.known[token] = self.look(token)
         return found
 
-    def look(self, token: str) -> tuple[str, ...]:
-        core = token.strip(EDGE)
-        if core.isalpha():
-            if found := self.entry(core):
-                return (found,)
-            if DOUBLED.search(core) and (TRIPLED.search(core) or squeeze(core) in self.squeezed):
-                if found := self.entry(self.decode(core)):
-                    return (found,)
-            if len(core) == len(token) or not (token[0] in SIGNS or token[-1] in SIGNS[:2]):
-                return ()
-        if not any(map(str.isalpha, token)):
-            return ()
-        for text in dict.fromkeys((core, token.rstrip(".,;:!?"), token)):
-            if text and not text.isalpha():
-                if found := self.entry(self.decode(text)):
-                    return (found,)
-        return ()
+    def spaced(self, tokens: list[str], i: int, nodes: frozenset[int]) -> tuple[str | None, int]:
+        """The word that tokens from i are pieces of, and the token after it. nodes: where token i leads."""
+        for j in range(i + 1, min(len(tokens), i + self.longest)):
+            if not nodes:
+                break
+            for end in dict.fromkeys((tokens[j].rstrip(NEUTRAL), tokens[j].rstrip(EDGE))):
+                if end and not self.trie.whole.isdisjoint(self.trie.walk(set(nodes), options(end), False)):
+                    if found := self.restored(" ".join([*tokens[i:j], end]).lstrip(NEUTRAL), False):
+                        return found, j + 1
+            nodes = frozenset(self.trie.walk(set(nodes), options(tokens[j]), False))
+        return None, i + 1
 
     def hits(self, text: str) -> tuple[int, list[str]]:
-        """How many tokens a text has, and the lexicon words in it once restored."""
-        tokens = text.lower().split()
-        found = {t: w for t in set(tokens) if (w := self.words(t))}
-        out = [w for t in tokens if t in found for w in found[t]] if found else []
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
-        if len(single) > 2:
-            run: list[int] = []
-            for i in [*single, -1]:
-                if run and i != run[-1] + 1:
-                    if len(run) > 2:
-                        out += self.inside(self.decode("".join(tokens[k] for k in run)))
-                    run = []
-                run.append(i)
-        return len(tokens), out
+        """How many tokens a text has, and the lexicon's entries in it once restored. A long text goes in chunks."""
+        n, out, left = 0, [], []
+        for last, some in chunks(text):
+            tokens = left + some.lower().split()
+            n += len(tokens) - len(left)
+            found = {t: self.known_(t) for t in set(tokens)}
+            stop = len(tokens) if last else max(0, len(tokens) - self.longest)
+            i = 0
+            while i < stop:
+                nodes = found[tokens[i]][1]
+                entry, i = self.spaced(tokens, i, nodes) if nodes else (None, i + 1)
+                if entry:
+                    out.append(entry)
+            out += [e for t in tokens[:i] if (e := found[t][0])]
+            left = tokens[i:]
+        return n, out
+
+
+def chunks(text: str) -> Iterator[tuple[bool, str]]:
+    """Whether it is the last, and a part of the text that ends before white space."""
+    i = 0
+    while len(text) - i > 2 * CHUNK:
+        found = SPACE.search(text, i + CHUNK)
+        if not found:
+            break
+        yield False, text[i : found.start()]
+        i = found.start()
+    yield True, text[i:]
 
 
 def entries(word: str) -> list[str]:
