@@ -268,8 +268,10 @@ def test_edits_against_encoding_again(spark):
     parts = ["a", "b", " ", "  ", "\n", "'", "s", "'s", "é", "1", ".", "!", " \n ", "word", "\t", "’", "end.", "12"]
     text = lambda n: "".join(r.choice(parts) for _ in range(n))
     for _ in range(400):
-        tree = edit_counts.Tree(own, text(r.choice([0, 1, 5, 30, 700])))
-        for _ in range(4):
+        tree = edit_counts.Tree.of(own, text(r.choice([0, 1, 5, 30, 700])))
+        for turn in range(4):
+            if turn == 2:  # stored and loaded
+                tree = edit_counts.Tree.load(own, *tree.store())
             place, drop, put = r.randint(0, len(tree.text)), r.choice([0, 0, 1, 3, 60]), text(r.choice([0, 1, 3, 200]))
             want = tree.text[:place] + put + tree.text[place + drop :]
             tree.edit(place, drop, put)
@@ -278,21 +280,50 @@ def test_edits_against_encoding_again(spark):
             assert tree.chars[1] == len(want)
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def edited(text, edits):
+    for place, drop, put in edits:
+        place = min(max(place or 0, 0), len(text))
+        text = text[:place] + (put or "") + text[place + (drop or 0) :]
+    return text
+
+
 def test_edited_counts(spark):
     texts = awkward()
-    found = edit_counts.edited_counts(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    own = edit_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    want = []
+    found = edit_counts.edited_counts(frame(spark, texts), RANKS, public_tokenizers.PATTERN)
+    own = edit_counts.Counter(RANKS, public_tokenizers.PATTERN)
+    count, want = lambda t: len(own.encoding.encode_ordinary(t)), []
     for d, t in texts:
         d, t = NULL_ID if d is None else d, t or ""
-        new = t
-        for place, drop, put in edit_counts.standing_edits(d, len(t)):
-            place = min(place, len(new))
-            new = new[:place] + put + new[place + drop :]
-        want.append((d, len(t), len(own.encoding.encode_ordinary(t)), len(own.encoding.encode_ordinary(new))))
+        n = len(t)
+        new = edited(t, [(n // 4, 0, f" edit {d} here"), (n // 2, 8, ""), (3 * n // 4, 5, "Changed")])
+        want.append((d, n, count(t), count(new)))
     assert sorted(map(tuple, found.select("doc_id", "n_chars", "n_tokens", "n_tokens_edited").collect())) == sorted(want)
     long = found.orderBy(F.desc("n_pieces")).first()
     assert long.n_reencoded < long.n_pieces / 20
+    assert edit_counts.edited_counts(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_table_of_edits(spark):
+    texts, r = awkward(), random.Random(5)
+    edits = [(r.choice([d for d, _ in texts]), r.randint(0, 3), r.randint(-2, 90), r.choice([0, 3, None]), r.choice(["", "new words, ", None, "é"])) for _ in range(150)] + [(987654, 0, 0, 0, "no such document")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, place int, drop int, put string")
+    trees = edit_counts.build_trees(frame(spark, texts), RANKS, public_tokenizers.PATTERN)
+    once = edit_counts.apply_edits(edit_counts.with_edits(trees, table), RANKS, public_tokenizers.PATTERN, keep=True)
+    again = edit_counts.apply_edits(edit_counts.with_edits(once.select(trees.columns), table), RANKS, public_tokenizers.PATTERN, keep=True)
+    own = edit_counts.Counter(RANKS, public_tokenizers.PATTERN)
+    low = lambda x: -(2**40) if x is None else x
+    mine = lambda d: [e[2:] for e in sorted((e for e in edits if e[0] == d), key=lambda e: (e[1], e[2], low(e[3]), e[4] or ""))]
+    for found, turns in ((once, 1), (again, 2)):
+        want = []
+        for d, t in texts:
+            new = t or ""
+            for _ in range(turns):
+                new = edited(new, mine(d))
+            want.append((NULL_ID if d is None else d, len(mine(d)), len(own.encoding.encode_ordinary(new)), new))
+        assert sorted(map(tuple, found.select("doc_id", "n_edits", "n_tokens_edited", "text").collect())) == sorted(want)
 
 
 def test_arrow_lists_of_tensors_are_empty_without_segments():

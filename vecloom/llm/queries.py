@@ -31,7 +31,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = edited_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return counts.select(public_id(), *counts.columns[1:])
+    return counts.select(public_id(), *counts.columns[2:])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
