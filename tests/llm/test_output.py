@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import re
 import unicodedata
@@ -226,23 +227,31 @@ def test_pivot_keeps_mass_and_expectations():
     assert np.abs(sums / 6000 - 0.3).max() < 0.03
 
 
-def test_audio(spark):
+def test_audio(spark, tmp_path):
     texts = awkward()
-    rows = audio.media_features(frame(spark, texts)).collect()
+    folder = (tmp_path / "tensors").as_uri()
+    rows = audio.media_features(frame(spark, texts), folder).collect()
     assert len(rows) == len(texts)
     seen = {}
-    want = {}
+    want, payloads = {}, set()
     for d, t in texts:
         b = (t or "").encode()
         payload = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+        payloads.add(payload)
         want.setdefault(NULL_ID if d is None else d, set()).add((len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(payload) + 44, hashlib.sha256(audio.to_wav(payload)).hexdigest()))
     for r in rows:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) in want[r.doc_id]
         assert seen.setdefault(r.payload_sha256, r.feature) == r.feature
-        assert len(r.tensor) == 4 * len(r.spans) * audio.FRAMES * audio.MELS and all(s.begin_s < s.end_s for s in r.spans)
-    some = max(rows, key=lambda r: len(r.spans))
-    array = audio.as_tensors(some.tensor)
-    assert array.type == audio.TENSOR and len(array) == len(some.spans) > 1
+        assert all(s.begin_s < s.end_s for s in r.spans) and (r.tensor_file is None) == (not r.spans)
+        if r.spans:
+            stored = audio.read_tensors(folder, r.tensor_file).slice(r.tensor_row, len(r.spans))
+            assert stored.schema.field("tensor").type == audio.TENSOR and set(stored.column("doc_id").to_pylist()) == {r.doc_id} and set(stored.column("key").to_pylist()) == {r.key}
+            assert stored.column("segment").to_pylist() == list(range(len(r.spans))) and stored.column("end_s").to_pylist() == [s.end_s for s in r.spans]
+            payload = next(p for p in payloads if hashlib.sha256(p).hexdigest() == r.payload_sha256)
+            mel, energy = audio.log_mel(payload)
+            values = stored.column("tensor").combine_chunks().to_numpy_ndarray()
+            assert values.shape == (len(r.spans), audio.FRAMES, audio.MELS) and np.allclose(values, audio.tensors(mel, audio.segments(energy)), atol=0.01)
+    assert max(len(r.spans) for r in rows) > 1
     assert audio.media_features(frame(spark, [])).count() == 0
 
 
@@ -254,14 +263,45 @@ def test_wav_and_resampling():
     for bad in (b"", b"RIFF0000WAVE", b"x" * 50):
         with pytest.raises(ValueError):
             audio.from_wav(bad)
-    x = np.random.default_rng(1).normal(size=101).astype(np.float32)
-    full = np.convolve(np.concatenate([np.zeros(8), x, np.zeros(16)]), audio.FILTER[::-1], "valid")[::2][:51]
-    assert np.allclose(audio.halve(x), full, atol=1e-5)
+    data = np.random.default_rng(1).integers(0, 256, 301).astype(np.uint8)
+    x = (data.astype(float) - 128) / 128
+    for rate, target in ((2, 1), (16_000, 8_000), (3, 2), (44_100, 16_000), (8_000, 16_000), (5, 7)):
+        own = audio.Resampler(rate, target)
+        n = own.size(len(data))
+        assert n == math.ceil(len(data) * target / rate)
+        direct = [sum(own.filter[k] * x[m] for m in range(len(x)) if 0 <= (k := i * own.down + own.shift - m * own.up) < len(own.filter)) for i in range(n)]
+        assert np.allclose(own.run(data, 0, n), direct, atol=1e-4)
+        assert np.allclose(own.run(data, 17, 90), direct[17:90], atol=1e-4)
+    tone = lambda hz, rate, n: np.round(128 + 100 * np.sin(2 * np.pi * hz * np.arange(n) / rate)).astype(np.uint8)
+    slow = audio.Resampler(16_000, 8_000)
+    assert np.abs(slow.run(tone(500, 16_000, 4000), 100, 1900) - 100 / 128 * np.sin(2 * np.pi * 500 * np.arange(100, 1900) / 8_000 - 0)).max() < 0.35
+    assert np.abs(slow.run(tone(7_000, 16_000, 4000), 100, 1900)).max() < 0.1  # above the new band
     energy = np.array([0, 0, 9, 9, 4.6, 9, 0, 0, 0, 4.6, 0], float)
     assert audio.segments(energy).tolist() == [[2, 6]]
     assert audio.segments(np.ones(5)).tolist() == []
 
 
+def test_log_mel_against_a_plain_transform(monkeypatch):
+    for n in (192, 400, 401, 1000, 5000):
+        samples = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
+        mel, energy = audio.log_mel(samples)
+        x = audio.RESAMPLER.run(np.frombuffer(samples, np.uint8), 0, -(-n // 2)).astype(float)
+        count = 1 + max(0, math.ceil((len(x) - audio.WINDOW) / audio.HOP))
+        assert len(mel) == len(energy) == count and (count - 1) * audio.HOP + audio.WINDOW >= len(x)
+        x = np.concatenate([x, np.zeros(audio.WINDOW + audio.HOP)])
+        k, t = np.arange(audio.FFT // 2 + 1), np.arange(audio.WINDOW)
+        basis = np.exp(-2j * np.pi * np.outer(t, k) / audio.FFT)
+        for i in range(count):
+            f = x[i * audio.HOP : i * audio.HOP + audio.WINDOW]
+            f = (f - f.mean()) * np.hanning(audio.WINDOW)
+            assert np.allclose(mel[i], np.log(np.abs(f @ basis) ** 2 @ audio.BANK + 1e-6), atol=1e-3)
+            assert abs(energy[i] - 10 * np.log10((f * f).mean() + 1e-10)) < 1e-3
+        monkeypatch.setattr(audio, "GROUP", 3)
+        parts = audio.log_mel(samples)
+        monkeypatch.setattr(audio, "GROUP", 1024)
+        assert np.allclose(parts[0], mel, atol=1e-4) and np.allclose(parts[1], energy, atol=1e-4)
+
+
 def test_edits_against_encoding_again(spark):
     own = edit_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(7)
@@ -327,4 +367,5 @@ def test_a_table_of_edits(spark):
 
 
 def test_arrow_lists_of_tensors_are_empty_without_segments():
-    assert len(audio.as_tensors(b"")) == 0 and isinstance(audio.as_tensors(b""), pa.ExtensionArray)
+    none = audio.as_tensors(np.zeros((0, audio.FRAMES, audio.MELS)))
+    assert len(none) == 0 and isinstance(none, pa.ExtensionArray) and none.type == audio.TENSOR

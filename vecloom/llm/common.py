@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/vecloom-{uuid.uuid4().hex}"
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """A shared folder for pyarrow: the file system, and the path in it."""
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage ends and nothing is computed twice."""
     path = shared_dir(df.sparkSession)

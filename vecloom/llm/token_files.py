@@ -19,12 +19,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import keyed, public_id, shared_dir, shuffle_partitions, slabs, strings
+from vecloom.llm.common import keyed, open_folder, public_id, shared_dir, shuffle_partitions, slabs, strings
 
 SEEK_HEAD, SEEK_FOOT, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
@@ -32,12 +31,6 @@ LEVEL = 1
 WORDS_KEPT, SLAB, PART = 800_000, 1 << 20, 1 << 20
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 #: Where a letter is followed by these, the tokenizer always begins a new piece.
 STOPS = ".,!?;:|%#$&*"
 
