@@ -276,7 +276,6 @@ class Dedup:
         block = np.repeat(np.asarray(table.column("block").combine_chunks()), list(map(len, which)))
         which, hot, low, high = np.concatenate(which), join(column["hot"], bool), join(column["low"], np.int64), join(column["high"], np.int64)
         texts, keys = [x for _, x in index], np.fromiter((k for k, _ in index), U64, len(index))
-        names = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         windows = size - self.length + 1
         at = np.cumsum(windows) - windows
@@ -284,8 +283,16 @@ class Dedup:
         np.minimum.at(own, which, low)
         warm[which] = hot
         least = np.repeat(own, windows)  # right for an anchor with one stretch
+        names, named = np.zeros(len(texts), U64), np.zeros(len(texts), bool)
+
+        def name(some: np.ndarray) -> None:
+            some = np.unique(some[~named[some]])
+            names[some] = [xxhash.xxh64_intdigest(texts[i]) for i in some.tolist()]
+            named[some] = True
+
+        name(np.flatnonzero(warm))
         group = np.where(warm, names, keys)
-        by = np.lexsort((names, group))
+        by = np.argsort(group, kind="stable")
         e = edges(group[by])
         many = np.flatnonzero(np.diff(e) > 1)
         chunk: list[int] = []
@@ -311,6 +318,7 @@ class Dedup:
             stops = gone & np.concatenate([begins[1:] | ~gone[1:] | (nth[1:] == 0), [True]])
             b, s = np.flatnonzero(begins), np.flatnonzero(stops)
             occ = np.repeat(np.arange(len(w)), n)[b]
+            name(w[occ])
             rows = np.zeros(len(b), REPLY)
             rows["key"], rows["name"], rows["hot"] = keys[w[occ]], names[w[occ]], warm[w[occ]]
             rows["first"], rows["last"], rows["least"] = nth[b], nth[s], here[b]
