@@ -128,28 +128,32 @@ class Tables:
         nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         place = np.repeat(begin, lanes) + nth * LANE
         stop = np.minimum(place + LANE, np.repeat(end, lanes))
-        found = []
+        likely = []
         while len(place):
             suffix = words.block(place + m - w, w)
             move = self.shift[self.slot(suffix)].astype(np.int64)
             here = np.flatnonzero(move == 0)
             if len(here):
                 k, s = place[here], suffix[here]
-                likely = self.pair[self.slot(s * K1 ^ words.block(k, w))]
-                k, s = k[likely], s[likely]
-                bucket, after = np.searchsorted(self.suffix, s), np.searchsorted(self.suffix, s, "right")
-                some = bucket < after
-                k = k[some]
-                for x, h, i, j in zip(k.tolist(), words.whole(k, m), bucket[some].tolist(), after[some].tolist(), strict=True):
-                    i += int(np.searchsorted(self.whole[i:j], h))
-                    while i < j and self.whole[i] == h:
-                        if words.joined(x, m) == self.patterns.joined(int(self.begin[i]), m):
-                            found.append((x, i))
-                            break
-                        i += 1
+                some = self.pair[self.slot(s * K1 ^ words.block(k, w))]
+                likely.append((k[some], s[some]))
             place = place + np.maximum(move, 1)
             on = place < stop
             place, stop = place[on], stop[on]
+        return self.confirm(words, *map(np.concatenate, zip(*likely))) if likely else []
+
+    def confirm(self, words: Words, k: np.ndarray, suffix: np.ndarray) -> list[tuple[int, int]]:
+        """Of the places where a window may begin those where one does, by the buckets of their suffixes and direct comparison."""
+        bucket, after = np.searchsorted(self.suffix, suffix), np.searchsorted(self.suffix, suffix, "right")
+        some = bucket < after
+        k, found = k[some], []
+        for x, h, i, j in zip(k.tolist(), words.whole(k, self.m), bucket[some].tolist(), after[some].tolist(), strict=True):
+            i += int(np.searchsorted(self.whole[i:j], h))
+            while i < j and self.whole[i] == h:
+                if words.joined(x, self.m) == self.patterns.joined(int(self.begin[i]), self.m):
+                    found.append((x, i))
+                    break
+                i += 1
         return found
 
 
