@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from llm.helpers import awkward, frame, prose
+from pyspark.sql import functions as F
 
 from vecloom.llm import quality, toxicity
 
@@ -66,6 +67,18 @@ def test_gradients():
             assert abs((up - down) / 2e-3 - grads[name][at]) < 5e-3 + 0.1 * abs(grads[name][at]), name
 
 
+def test_sample_is_bounded(spark):
+    texts = [(k, f"text {k} " * (k + 1)) for k in range(60)] + [(7, f"another {k}") for k in range(30)] + [(8, None), (9, "x" * 3000), (None, "no id")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(7, 1), (None, 1), (500, 0), (3, None)], "doc_id long, y int")
+    usable = F.col("doc_id") != 4
+    got, y, prior = quality.sample(frame(spark, texts), labels, "y", usable, 40, 4000)
+    assert len(got) == len(y) <= 40 and sum(len(x) for x, v in zip(got, y) if v == 0) <= 2000 and {0.0, 1.0} == set(y.tolist())
+    assert sum(x.startswith(b"another") or x.startswith(b"text 7 ") for x in got) <= 1 and not any(x.startswith(b"text 4 ") for x in got)
+    assert prior == 31 / 61
+    again = quality.sample(frame(spark, texts[::-1]), labels, "y", usable, 40, 4000)
+    assert again[0] == got and (again[1] == y).all()
+
+
 def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark, awkward())

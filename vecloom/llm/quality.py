@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import keyed, slabs, strings
+from vecloom.llm.common import keyed, settle, slabs, strings
 
 CHUNK, STEP = 256, 224
 WIDTH, DIM, FILTERS, HIDDEN = 8, 8, 24, 16
@@ -145,24 +145,29 @@ def fold(of: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
     """Texts of at most `most` usable labelled rows and `most_bytes`, their labels, and label 1's share among all usable rows.
 
-    Rows come in the order of a hash of their id, half of them of either label while both last.
+    Rows come in the order of a hash of their id, half of them of either label while both last; of documents that
+    share an id one is taken, by a hash of its text. Texts over half of most_bytes aren't taken. One pass over the documents.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     n = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    texts, y = [], []
-    for v in (0, 1):
-        some = known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
-        left = most_bytes // 2
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most `most` ids
-        for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator():
-            x = r[0].encode()
-            if len(x) > left:
-                continue
-            left -= len(x)
-            texts.append(x)
-            y.append(v)
+    zero, one = (known.where(F.col("y") == v).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for v in (0, 1))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes // 2)
+    joined = own.join(F.broadcast(zero.unionByName(one)), "doc_id")  # at most `most` ids
+    found = settle(joined.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("doc_id", "y", "x.text"))
+    chosen, left = [], [most_bytes // 2] * 2
+    for y, _, doc_id, size in sorted(map(tuple, found.select("y", F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).collect())):  # at most `most` rows
+        if size <= left[y]:
+            left[y] -= size
+            chosen.append((doc_id, y))
+    at = {x: k for k, x in enumerate(chosen)}
+    texts: list[bytes] = [b""] * len(chosen)
+    if chosen:
+        some = spark.createDataFrame(chosen, "doc_id long, y int")
+        for doc_id, y, text in found.join(F.broadcast(some), ["doc_id", "y"]).toLocalIterator():  # at most most_bytes
+            texts[at[doc_id, y]] = text.encode()
     total = n.get(0, 0) + n.get(1, 0)
-    return texts, np.array(y, np.float32), n.get(1, 0) / total if total else 0.5
+    return texts, np.array([y for _, y in chosen], np.float32), n.get(1, 0) / total if total else 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, most: int = MOST, most_bytes: int = MOST_BYTES) -> Network:
