@@ -1,5 +1,7 @@
 """Expressions and kernels against numpy, on hand-made edge cases."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,38 @@ def test_probes_in_blocks(spark):
         probes(asked, centroids(spark, c), 64, 0)
 
 
+def test_equal_distances_go_to_the_least_ids(spark):
+    x = np.concatenate([np.tile(RNG.normal(size=64), (1000, 1)), RNG.normal(size=(50, 64)) + 9])
+    order = RNG.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, x[0].tolist()), (1, (x[0] + 1).tolist())], "q_id long, qv array<double>")
+    got = S.knn_exact(df, asked, 10, 64).collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.q_id == q] for q in (0, 1)} == {0: list(range(10)), 1: list(range(10))}
+
+
+def test_blocks_of_queries_are_read_by_the_tasks(spark, monkeypatch):
+    x, q = RNG.normal(size=(70, 64)), RNG.normal(size=(9, 64))
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q_id long, qv array<double>")
+    monkeypatch.setattr(S, "QUERY_BYTES", 64 * 8 * 4)
+    exact = ((q[:, None] - x) ** 2).sum(-1).argsort(1)[:, :5]
+    got = S.knn_exact(frame(spark, x), asked, 5, 64).collect()
+    assert all([r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.q_id == i] == exact[i].tolist() for i in range(9))
+    none = asked.where("q_id < 0")
+    assert S.knn_exact(frame(spark, x), none, 5, 64).count() == 0
+
+
+def test_all_rows_train_both_levels(spark):
+    x = RNG.normal(size=(200, 8))
+    got = {r.cluster_id: np.array(r.centroid) for r in cluster.hierarchical_kmeans(frame(spark, x), "embedding", 2, 3, 8, None, 4).collect()}
+    tops = {r.cluster_id: np.array(r.centroid) for r in cluster.kmeans(frame(spark, x), "embedding", 2, 8, 4).collect()}
+    of = np.argmin(((x[:, None] - np.array([tops[0], tops[1]])) ** 2).sum(-1), axis=1)
+    h = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    for t in (0, 1):
+        rows = sorted(np.flatnonzero(of == t).tolist(), key=lambda i: (h(i), i))
+        want = cluster.lloyd(x[rows], 3, 4)
+        assert all(np.allclose(got[3 * t + j], want[j]) for j in range(3))
+
+
 def search_case(spark, n=300, dim=64):
     x = RNG.normal(size=(n, dim))
     c = x[:5]

@@ -1,4 +1,4 @@
-"""python -m vecloom search | train | serve: vector files in, recall and queries per second, centroids or a service out."""
+"""python -m vecloom search | train | serve | load: vector files in, recall and queries per second, centroids or a service out, or a service asked."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from vecloom.functions.vectors import padded_size
 from vecloom.operators import cluster, evaluate, search
 from vecloom.operators.index import Index, build_index
 from vecloom.sources import index_files, vecs
+from vecloom.sources.blocks import BlockCache
 
 
 def opened(spark: SparkSession, path: str) -> Index:
@@ -54,7 +55,8 @@ def run_train(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_serve(spark: SparkSession, a: argparse.Namespace) -> None:
     from vecloom.streaming.serve import service
 
-    server = service(opened(spark, a.dir), spark, a.port)
+    blocks = BlockCache(os.path.join(a.dir, index_files.BASE), a.cache) if a.cache else None
+    server = service(opened(spark, a.dir), spark, a.port, blocks=blocks)
     try:
         server.serve_forever()
     except KeyboardInterrupt:
@@ -63,6 +65,13 @@ def run_serve(spark: SparkSession, a: argparse.Namespace) -> None:
         server.server_close()
 
 
+def run_load(a: argparse.Namespace) -> dict:
+    read = lambda path, dtype: (v for f in vecs.files(path) for v in vecs.decode(open(f, "rb").read(), dtype))  # noqa: E731, SIM115
+    got = evaluate.load(f"{a.url.rstrip('/')}/query", read(a.query, "f32"), read(a.truth, "i32"), a.topk, a.probe, a.limit, a.threads if a.concurrent else 1)
+    print(f"recall: {got['recall']:.6f}, mean latency: {got['latency']:.6f}, QPS: {got['qps']:.3f}, failed: {got['failed']} [top_k {a.topk}, probe {a.probe}]")
+    return got
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vecloom")
     kinds = p.add_subparsers(dest="what", required=True)
@@ -83,11 +92,23 @@ def parser() -> argparse.ArgumentParser:
     v = kinds.add_parser("serve")
     v.add_argument("-d", "--dir", required=True)
     v.add_argument("-p", "--port", type=int, default=9000)
+    v.add_argument("--cache", help="a local file: vectors are read in blocks from the six-file index and kept there")
+    w = kinds.add_parser("load")
+    w.add_argument("-u", "--url", default="http://127.0.0.1:9000")
+    w.add_argument("-q", "--query", required=True)
+    w.add_argument("-t", "--truth", required=True)
+    w.add_argument("-k", "--topk", type=int, default=100)
+    w.add_argument("-p", "--probe", type=int, default=300)
+    w.add_argument("-l", "--limit", type=int, default=1000)
+    w.add_argument("-c", "--concurrent", action="store_true")
+    w.add_argument("--threads", type=int, default=8)
     return p
 
 
 def main(argv: list[str] | None = None) -> object:
     a = parser().parse_args(argv)
+    if a.what == "load":
+        return run_load(a)
     spark = SparkSession.builder.appName("vecloom").getOrCreate()
     return {"search": run_search, "train": run_train, "serve": run_serve}[a.what](spark, a)
 

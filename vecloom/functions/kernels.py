@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import DEFAULT_COSINE, EPSILON, QUERY_BITS, padded_size
+from vecloom.sources import folders
+from vecloom.functions.vectors import DEFAULT_COSINE, EPSILON, FINE, QUERY_BITS, padded_size
 
-#: Bytes of centroids in one pass; more take several passes.
+#: Bytes of vectors in one block.
 BLOCK_BYTES = 32 << 20
 ROWS = 4096
 
@@ -42,17 +45,35 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1))
 
 
-def centroid_blocks(centroids: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the centroids in ascending id order, at most block_bytes at a time."""
-    most, ids, rows = max(1, block_bytes // (8 * dim)), [], []
-    for k, v in centroids.select("cluster_id", F.col("centroid").cast("array<double>")).orderBy("cluster_id").toLocalIterator():
-        ids.append(k)
-        rows.append(v + [0.0] * (dim - len(v)))
-        if len(ids) == most:
-            yield np.array(ids, np.int64), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows)
+class Blocks:
+    """Rows of ids and vectors that tasks go through, at most block_bytes of vectors at a time.
+
+    What fits in one block is sent with the plan. More is written to the shared folder in the order of the ids, and
+    tasks read it from there; the driver and a task hold one block.
+    """
+
+    def __init__(self, df: DataFrame, id_: str, vector: str, dim: int, block_bytes: int = BLOCK_BYTES):
+        self.dim, self.most, self.path = dim, max(1, block_bytes // (8 * dim)), None
+        rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        few = rows.limit(self.most + 1).collect()  # a block
+        if len(few) > self.most:
+            self.path = folders.shared_folder(df.sparkSession)
+            n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            rows.repartitionByRange(n, "id").sortWithinPartitions("id").write.option("parquet.block.size", block_bytes).parquet(self.path)
+            return
+        few = sorted(few)
+        self.few = np.array([r[0] for r in few], np.int64), np.array([r[1] + [0.0] * (dim - len(r[1])) for r in few]).reshape(len(few), dim)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.path is None:
+            yield self.few
+            return
+        place, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), folders.mounted(self.path))
+        for info in sorted(place.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+            if info.path.endswith(".parquet"):
+                with place.open_input_file(info.path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(self.most):
+                        yield b.column(0).to_numpy(), matrix(b.column(1), self.dim)
 
 
 def with_columns(df: DataFrame, new: str, run) -> DataFrame:
@@ -77,23 +98,28 @@ def rotate(df: DataFrame, column: str, rotation: np.ndarray) -> DataFrame:
     return with_columns(df, f"{column} array<double>", lambda b: [lists(matrix(b.column(b.schema.get_field_index(column)), dim) @ rotation)])
 
 
-def nearest(df: DataFrame, column: str, centroids: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """cluster_id and center_distance_square of each row's nearest centroid; the least id wins ties. No rows are multiplied."""
-    out = df
-    for n, (ids, c) in enumerate(centroid_blocks(centroids, dim, block_bytes)):
+def nearest(df: DataFrame, column: str, centroids: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES, within: str | None = None, of: int = 1) -> DataFrame:
+    """cluster_id and center_distance_square of each row's nearest centroid; the least id wins ties. No rows are multiplied.
 
-        def run(b: pa.RecordBatch, ids=ids, c=c, n=n) -> list[pa.Array]:
-            x = matrix(b.column(b.schema.get_field_index(column)), dim)
-            k = np.argmin(distances(x, c), axis=1)
-            d2 = ((x - c[k]) ** 2).sum(axis=1)
-            best = ids[k]
-            if n:
-                old, was = (b.column(b.schema.get_field_index(y)).to_numpy() for y in ("center_distance_square", "cluster_id"))
-                best, d2 = np.where(d2 < old, best, was), np.minimum(d2, old)
-            return [pa.array(best.astype(np.int32)), pa.array(d2)]
+    within: a column that names a group of the centroids, those whose id divided by `of` is that; a row is compared with them only.
+    """
+    blocks = Blocks(centroids, "cluster_id", "centroid", dim, block_bytes)
 
-        out = with_columns(out, "cluster_id int, center_distance_square double", run)
-    return out
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        x = matrix(b.column(b.schema.get_field_index(column)), dim)
+        best, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        group = None if within is None else b.column(b.schema.get_field_index(within)).to_numpy()
+        for ids, c in blocks:  # in the order of the ids
+            for rows, some in [(slice(None), slice(None))] if group is None else [(group == g, ids // of == g) for g in np.intersect1d(group, ids // of)]:
+                own = c[some]
+                if not len(own):
+                    continue
+                k = np.argmin(distances(x[rows], own), axis=1)
+                d2 = ((x[rows] - own[k]) ** 2).sum(axis=1)
+                best[rows], least[rows] = np.where(d2 < least[rows], ids[some][k], best[rows]), np.minimum(d2, least[rows])
+        return [pa.array(best.astype(np.int32)), pa.array(least)]
+
+    return with_columns(df, "cluster_id int, center_distance_square double", run)
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -128,42 +154,38 @@ PROBE = "q_id long, cluster_id int, probe_rank int, g2 double, low double, delta
 def probes(queries: DataFrame, centroids: DataFrame, dim: int, probe: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each query (q_id, qv, rotated) its `probe` nearest clusters, in order, and its residual there, quantized.
 
-    Passes over blocks of centroids keep each query's best so far, with those centroids' vectors.
+    A pass over blocks of centroids keeps each query's best so far, with those centroids' vectors.
     """
     if probe < 1:
         raise ValueError("probe at least one cluster")
-    best = queries.select("q_id", "qv").withColumns({"ids": F.expr("cast(array() as array<bigint>)"), "near": F.expr("cast(array() as array<double>)")})
-    for ids, c in centroid_blocks(centroids, dim, block_bytes):
+    blocks = Blocks(centroids, "cluster_id", "centroid", dim, block_bytes)
 
-        def run(b: pa.RecordBatch, ids=ids, c=c) -> list[pa.Array]:
-            x = matrix(b.column(1), dim)
+    def best(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest clusters' ids and vectors for each query."""
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dim)))] * len(x)
+        for ids, c in blocks:
             new = distances(x, c)
-            out_ids, out_near = [], []
-            for i, (k, near) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                k = np.concatenate([np.array(k, np.int64), ids])
-                d = np.concatenate([[((x[i] - np.array(near).reshape(-1, dim)[j]) ** 2).sum() for j in range(len(near) // dim)], new[i]])
-                v = np.concatenate([np.array(near).reshape(-1, dim), c])
+            for i, (k, d, v) in enumerate(kept):
+                some = np.flatnonzero(new[i] <= np.partition(new[i], probe - 1)[probe - 1] * (1 + 1e-9) + 1e-9) if probe < len(c) else np.arange(len(c))
+                k, d, v = np.concatenate([k, ids[some]]), np.concatenate([d, ((x[i] - c[some]) ** 2).sum(axis=1)]), np.concatenate([v, c[some]])
                 by = np.lexsort((k, d))[:probe]
-                out_ids.append(k[by])
-                out_near.append(v[by].ravel())
-            return [pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_near, pa.list_(pa.float64()))]
-
-        best = with_columns(best, "ids array<bigint>, near array<double>", run)
+                kept[i] = k[by], d[by], v[by]
+        return [(k, v) for k, _, v in kept]
 
     def quantized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = matrix(b.column(1), dim)
-            for i, (q, k, near) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                t = x[i] - np.array(near).reshape(-1, dim)
+            for i, (q, (k, near)) in enumerate(zip(b.column(0).to_pylist(), best(x), strict=True)):
+                t = x[i] - near
                 low, delta = t.min(axis=1), (t.max(axis=1) - t.min(axis=1)) / ((1 << QUERY_BITS) - 1)
-                n = np.where(delta[:, None] == 0, 0, np.rint((t - low[:, None]) / np.where(delta == 0, 1, delta)[:, None])).astype(np.int64)
+                n = np.where(delta[:, None] == 0, 0, np.rint(np.rint((t - low[:, None]) / np.where(delta == 0, 1, delta)[:, None] / FINE) * FINE)).astype(np.int64)
                 planes = [[pack((n[r : r + 1] >> j) & 1 == 1)[0].tolist() for j in range(QUERY_BITS)] for r in range(len(t))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([q] * len(t), pa.int64()), pa.array(k, pa.int32()), pa.array(np.arange(1, len(t) + 1, dtype=np.int32)), pa.array((t * t).sum(axis=1)), pa.array(low), pa.array(delta), pa.array(n.sum(axis=1)), pa.array(planes, pa.list_(pa.list_(pa.int64())))],
                     ["q_id", "cluster_id", "probe_rank", "g2", "low", "delta", "q_sum", "planes"],
                 )
 
-    return best.mapInArrow(quantized, PROBE)
+    return queries.select("q_id", "qv").mapInArrow(quantized, PROBE)
 
 
 def dimension(df: DataFrame, column: str) -> int:

@@ -17,6 +17,8 @@ QUERY_BITS = 4
 EPSILON = 1.9
 DEFAULT_COSINE = 0.8
 UNROLL = 128
+#: So that rounding errors don't decide about halves.
+FINE = 2.0**-30
 ZERO = 0.0
 
 
@@ -81,8 +83,9 @@ def step_size(low: Column, high: Column) -> Column:
 
 
 def quantize(v: Column, low: Column, delta: Column) -> Column:
-    """Nearest multiple of delta above low, halves to even; a constant vector gives zeros."""
-    return F.transform(v, lambda x: F.when(delta == 0, F.lit(0)).otherwise(F.rint((x - low) / F.when(delta == 0, F.lit(1.0)).otherwise(delta)).cast("int")))
+    """Nearest multiple of delta above low, halves to even; a constant vector gives zeros. What is within FINE of a half is one."""
+    safe = F.when(delta == 0, F.lit(1.0)).otherwise(delta)
+    return F.transform(v, lambda x: F.when(delta == 0, F.lit(0)).otherwise(F.rint(F.rint((x - low) / safe / FINE) * FINE).cast("int")))
 
 
 def quantize_biased(v: Column, low: Column, delta: Column, bias: Column) -> Column:

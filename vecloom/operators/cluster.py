@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.kernels import nearest, rotate
+from vecloom.sources.folders import stored
 
-__all__ = ["assign", "centroid_means", "hash_sample", "hierarchical_kmeans", "kmeans", "layout", "lloyd_step", "offsets", "rotate"]
+__all__ = ["assign", "centroid_means", "hash_sample", "hierarchical_kmeans", "kmeans", "layout", "lloyd_step", "nested_lloyd", "offsets", "rotate"]
 
 
 def centroid_means(df: DataFrame, key: str, column: str, dim: int) -> DataFrame:
@@ -38,10 +39,20 @@ def offsets(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return every.select("cluster_id", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
-def layout(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each row's place in the index: by cluster, distance to its centre, id."""
-    within = F.row_number().over(Window.partitionBy("cluster_id").orderBy("center_distance_square", "vec_id")) - 1
-    return assigned.withColumn("within", within).join(offsets(assigned, centroids).select("cluster_id", "offset"), "cluster_id").withColumn("pos", F.col("offset") + F.col("within")).drop("offset", "within")
+def layout(assigned: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
+    """Each row's place in the index: by cluster, distance to its centre, id.
+
+    The rows are sorted in ranges, so a large cluster is in several tasks; the driver gets a number for each range.
+    """
+    spark, order = assigned.sparkSession, ("cluster_id", "center_distance_square", "vec_id")
+    ranges = assigned.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranges = stored(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, rows = 0, []
+    for part, n in sorted(map(tuple, ranges.groupBy("_part").count().collect())):
+        rows.append((part, before))
+        before += n
+    starts = spark.createDataFrame(rows, "_part int, _before long")
+    return ranges.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def hash_sample(df: DataFrame, n: int, id_: str = "vec_id", by: str | None = None) -> DataFrame:
@@ -80,16 +91,17 @@ def lloyd(x: np.ndarray, k: int, steps: int) -> np.ndarray:
 
 
 def hierarchical_kmeans(df: DataFrame, column: str, top: int, down: int, dim: int, points: int | None = 256, steps: int = 10, id_: str = "vec_id") -> DataFrame:
-    """top times down centroids: top clusters of a sample, all rows assigned, then each cluster's sample in down clusters.
+    """top times down centroids: top clusters, all rows assigned to them, then each cluster's rows in down clusters.
 
-    points: rows sampled for each centroid (None: all rows train the top clusters, as a variant; the second
-    level's samples stay bounded by 256). A cluster with fewer rows than centroids gives one for each row. The
-    second level trains all clusters at once, each in a task of its own, from top x down x points rows at most.
+    points: rows sampled for each centroid, at both levels; None: all rows train both. A cluster with fewer rows
+    than centroids gives one for each row. Of samples the second level trains all clusters at once, each in a task of
+    its own, from top x down x points rows at most; of all rows, in steps over the whole table (nested_lloyd).
     """
-    sample = df if points is None else hash_sample(df, top * points, id_)
-    tops = kmeans(sample, column, top, dim, steps, id_=id_)
-    most = down * (points or 256)
-    rows = hash_sample(assign(df.select(id_, column), tops, column, dim), most, id_, "cluster_id")
+    tops = kmeans(df if points is None else hash_sample(df, top * points, id_), column, top, dim, steps, id_=id_)
+    placed = assign(df.select(id_, column), tops, column, dim).select(id_, column, "cluster_id")
+    if points is None:
+        return nested_lloyd(stored(placed), column, down, dim, steps, id_)
+    rows = hash_sample(placed, down * points, id_, "cluster_id")
 
     def train(table):
         import pyarrow as pa
@@ -102,3 +114,20 @@ def hierarchical_kmeans(df: DataFrame, column: str, top: int, down: int, dim: in
         return pa.table({"cluster_id": pa.array([table.column("cluster_id")[0].as_py() * down + j for j in range(len(c))], pa.int32()), "centroid": lists(c)})
 
     return rows.withColumn("h", F.concat(F.md5(F.col(id_).cast("string")), F.lpad(F.col(id_).cast("string"), 20, "0"))).select("cluster_id", column, "h").groupBy("cluster_id").applyInArrow(train, "cluster_id int, centroid array<double>")
+
+
+def nested_lloyd(placed: DataFrame, column: str, down: int, dim: int, steps: int, id_: str = "vec_id") -> DataFrame:
+    """k-means within each cluster of placed rows (id, vector, cluster_id), all rows and all clusters in each step.
+
+    The first centroids are the first `down` rows of a cluster by the hash of their id. A row is compared with its
+    own cluster's centroids only; a centroid that loses all its rows stays.
+    """
+    first = hash_sample(placed, down, id_, "cluster_id")
+    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.md5(F.col(id_).cast("string")), id_)) - 1
+    centroids = stored(first.select((F.col("cluster_id") * down + nth).cast("int").alias("cluster_id"), F.col(column).cast("array<double>").alias("centroid")))
+    for _ in range(steps):
+        near = nearest(placed.withColumnRenamed("cluster_id", "_within"), column, centroids, dim, within="_within", of=down).select("cluster_id", column)
+        new = centroid_means(near, "cluster_id", column, dim)
+        old = centroids.select("cluster_id", F.col("centroid").alias("old"))
+        centroids = stored(old.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("centroid", "old").alias("centroid")))
+    return centroids

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +49,35 @@ def timed(found: DataFrame, n_queries: int) -> tuple[list, float]:
     began = time.perf_counter()
     rows = found.collect()
     return rows, n_queries / max(1e-9, time.perf_counter() - began)
+
+
+def load(url: str, queries: Iterable, truths: Iterable, k: int, probe: int, limit: int = 1000, threads: int = 1) -> dict:
+    """Ask a service for the first `limit` queries, one after another or by several threads.
+
+    How many were answered and how many failed; of the answered the mean recall (as recall_of_lists: over the shorter
+    of k and the truth) and the mean latency, and answers per second. Failed requests count in neither mean.
+    """
+
+    def ask(pair) -> tuple[float, float] | None:
+        query, truth = pair
+        body = json.dumps({"query": [float(x) for x in query], "top_k": k, "probe": probe}).encode()
+        began = time.perf_counter()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=3000) as r:
+                ids = json.loads(r.read())["ids"]
+        except (urllib.error.URLError, ValueError, KeyError):
+            return None
+        took = time.perf_counter() - began
+        n = min(k, len(truth))
+        return len(set(ids[:n]) & {int(x) for x in truth[:n]}) / max(1, n), took
+
+    pairs = [p for p, _ in zip(zip(queries, truths), range(limit))]
+    began = time.perf_counter()
+    if threads > 1:
+        with ThreadPoolExecutor(threads) as pool:
+            got = list(pool.map(ask, pairs))
+    else:
+        got = list(map(ask, pairs))
+    took, good = time.perf_counter() - began, [x for x in got if x is not None]
+    mean = lambda i: sum(x[i] for x in good) / len(good) if good else float("nan")
+    return {"queries": len(good), "failed": len(got) - len(good), "recall": mean(0), "latency": mean(1), "qps": len(good) / max(took, 1e-9)}

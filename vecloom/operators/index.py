@@ -32,12 +32,15 @@ class Index:
         return len(self.rotation)
 
     def save(self, path: str) -> None:
-        """Parquet tables under path; codes and base are partitioned by cluster, so that a probe reads its clusters only."""
+        """Parquet tables under path; codes and base are partitioned by cluster, so that a probe reads its clusters only.
+
+        Rows are in ranges of cluster and order, so a large cluster is written by several tasks.
+        """
         spark = self.codes.sparkSession
         for name in ("codes", "base"):
             df = getattr(self, name)
             order = ["center_distance_square", "vec_id"] if name == "codes" else ["vec_id"]
-            df.repartition("cluster_id").sortWithinPartitions("cluster_id", *order).write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/{name}")
+            df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "cluster_id", *order).sortWithinPartitions("cluster_id", *order).write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/{name}")
         self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
         rows = [(j, self.rotation[:, j].tolist()) for j in range(self.dim)]
         spark.createDataFrame(rows, "j int, col array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/rotation")

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import heapq
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
-from vecloom.functions.kernels import ROWS, distances, matrix, probes
+from vecloom.functions.kernels import ROWS, Blocks, distances, matrix, probes
 from vecloom.operators.index import Index, turned_queries
+from vecloom.sources.blocks import BLOCK_BYTES
+from vecloom.sources.folders import stored
 
 WINDOW = 12
-QUERY_BYTES = 16 << 20
+QUERY_BYTES, QUERIES, PAIRS = 16 << 20, 1024, 1 << 16
 
 
 def top_k(df: DataFrame, k: int, *by: str) -> DataFrame:
@@ -27,44 +27,43 @@ def top_k(df: DataFrame, k: int, *by: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*by))).where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, dim: int, most: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries, at most so many bytes at a time."""
-    ids, rows = [], []
-    for q, v in queries.select("q_id", F.col("qv").cast("array<double>")).toLocalIterator():
-        ids.append(q)
-        rows.append(v + [0.0] * (dim - len(v)))
-        if len(ids) * dim * 8 >= most:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows)
-
-
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """q_id, vec_id, dist, rank by brute force: each batch of vectors gives its best k for each query, then the best of those."""
-    found = None
-    for ids, q in query_blocks(queries, dim):
+    """q_id, vec_id, dist, rank by brute force: each batch of vectors gives its best k for each query, then the best of those.
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
+    Ties go to the least vec_id, however many vectors share a distance.
+    """
+    blocks = Blocks(queries, "q_id", "qv", dim, QUERY_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for ids, q in blocks:
                 for i in range(0, whole.num_rows, ROWS):
                     b = whole.slice(i, ROWS)
                     x, name = matrix(b.column(1), dim), b.column(0).to_numpy()
-                    near = distances(q, x)
-                    n = min(4 * k + 16, len(x))  # more than k, for near ties are settled by exact values
-                    pick = np.argpartition(near, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-                    exact = ((x[pick] - q[:, None, :]) ** 2).sum(axis=2)
-                    order = np.lexsort((name[pick], exact), axis=1)[:, :k]
-                    pick, exact = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, pick.shape[1])), pa.array(name[pick].ravel()), pa.array(exact.ravel())], ["q_id", "vec_id", "dist"])
-
-        some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "q_id long, vec_id long, dist double")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        raise ValueError("no queries")
+                    for j in range(0, len(q), QUERIES):
+                        row, at, dist = best_of(x, name, q[j : j + QUERIES], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[j + row]), pa.array(name[at]), pa.array(dist)], ["q_id", "vec_id", "dist"])
+
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "q_id long, vec_id long, dist double")
     return top_k(found, k, "dist", "vec_id")
 
 
+def best_of(x: np.ndarray, name: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of x for each query, by exact distance, then name: which query, which row, the distance."""
+    near = distances(q, x)
+    if k < len(x):  # all that may be among them but for rounding
+        slack = 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max(initial=0))
+        row, at = np.nonzero(near <= (np.partition(near, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+    else:
+        row, at = (y.ravel() for y in np.indices(near.shape))
+    dist = np.concatenate([((x[at[i : i + PAIRS]] - q[row[i : i + PAIRS]]) ** 2).sum(axis=1) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
+    by = np.lexsort((name[at], dist, row))
+    row, at, dist = row[by], at[by], dist[by]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], at[keep], dist[keep]
+
+
 def candidates(index: Index, probed: DataFrame) -> DataFrame:
     """q_id, vec_id, cluster_id, probe_rank, center_distance_square and rough of each member of a probed cluster."""
     words = index.dim // V.WORD
@@ -93,15 +92,14 @@ def two_stage(scored: DataFrame, base: DataFrame, queries: DataFrame, k: int, di
     """The k nearest by exact distance of those whose bound isn't above the worst of the k with the least bounds.
 
     Doesn't depend on the order of rows. A query with fewer than k candidates keeps them all. The candidates that
-    are left are counted, to choose the join; they are kept on the executors' disks as long as the result is in use.
+    are left are written to the shared folder, so that counting them, to choose the join, doesn't score them again.
     """
     first = top_k(scored, k, "rough", "vec_id").drop("rank")
     near = exact(first, base, queries, dim, queries.count() * k)
     limit = near.groupBy("q_id").agg(F.when(F.count("*") == k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("limit"))
-    left = scored.join(limit, "q_id").where("rough <= limit").persist(StorageLevel.DISK_ONLY)
-    out = top_k(exact(left, base, queries, dim, left.count()), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
-    weakref.finalize(out, left.unpersist).atexit = False
-    return out
+    left = scored.join(limit, "q_id").where("rough <= limit")
+    left = stored(left.select("q_id", "vec_id", "cluster_id"))
+    return top_k(exact(left, base, queries, dim, left.count()), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
 
 
 class Heap:
@@ -192,7 +190,21 @@ def ivf_flat(index: Index, queries: DataFrame, probe: int, k: int) -> DataFrame:
     return top_k(exact(some, index.base, queries), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
 
 
-BLOCK_BYTES = 1 << 19
+def scan(rows: Iterator[tuple[float, int, int]], query: np.ndarray, vector_at, k: int, heuristic: bool = False) -> tuple[list[tuple[float, int]], int, int]:
+    """replay() of one query on the driver: rows of bound, vec_id and place in scan order; vectors come one by one.
+
+    A vector is asked for only where its bound is below the limit. The results, how many rows, how many vectors.
+    """
+    r, n, precise = (Windowed if heuristic else Heap)(k), 0, 0
+    for rough, vec_id, pos in rows:
+        n += 1
+        if rough < r.limit:
+            precise += 1
+            v = vector_at(pos).astype(np.float64)
+            dist = float(((v - query[: len(v)]) ** 2).sum() + (query[len(v) :] ** 2).sum())
+            if dist < r.limit:
+                r.accept(dist, vec_id)
+    return r.result(), n, precise
 
 
 def blocks_of(places: DataFrame, dim: int) -> DataFrame:

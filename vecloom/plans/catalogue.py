@@ -19,10 +19,10 @@ from vecloom.functions.kernels import probes
 from vecloom.operators import cluster, evaluate
 from vecloom.operators import search as S
 from vecloom.operators.index import Index, build_index
-from vecloom.sources import vecs
+from vecloom.sources import index_files, vecs
 from vecloom.sources.folders import mounted, shared_folder
 
-DIM, PROBE, K, N_QUERIES, MOST_LABELS = 64, 3, 10, 20, 4096
+DIM, PROBE, K, EVERY, MOST_LABELS = 64, 3, 10, 50, 4096
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def the_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv"))
+    """The stated queries: every row whose id is divisible by EVERY."""
+    return embeddings(spark, sf_dir).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv"))
 
 
 def the_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ SQL: dict[str, str] = {}
 
 EMB = "e as (select vec_id, label, embedding::double[] v from embeddings)"
 CEN = "cen as (select cluster_id, list(m order by i) c from (select label cluster_id, i, avg(v[i]) m from e, range(1, 65) t(i) group by all) group by cluster_id)"
-QUE = f"q as (select vec_id q_id, v y from e where vec_id < {N_QUERIES})"
+QUE = f"q as (select vec_id q_id, v y from e where vec_id % {EVERY} = 0)"
 L2 = "list_sum(list_transform(range(1, 65), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
 ASG = f"asg as (select vec_id, v, cluster_id, c, d2 from (select vec_id, v, cluster_id, c, {L2.format(a='v', b='c')} d2 from e, cen) qualify row_number() over (partition by vec_id order by d2, cluster_id) = 1)"
 IDX = """res as (select *, list_transform(range(1, 65), lambda i: v[i] - c[i]) r from asg),
@@ -93,7 +94,7 @@ idx as (select *, -2.0 / 8.0 * (sqrt(d2) / cosine) factor_ip, -2.0 / 8.0 * (sqrt
 PRO = f"""pro as (select q_id, y, cluster_id, g2, list_transform(range(1, 65), lambda i: y[i] - c[i]) t, row_number() over (partition by q_id order by g2, cluster_id) probe_rank
   from (select *, {L2.format(a='y', b='c')} g2 from q, cen) qualify probe_rank <= {PROBE}),
 qua as (select *, list_min(t) low, (list_max(t) - list_min(t)) / 15.0 delta from pro),
-qnt as (select *, list_transform(t, lambda x: case when delta = 0 then 0 else round_even((x - low) / delta, 0)::int end) n from qua)"""
+qnt as (select *, list_transform(t, lambda x: case when delta = 0 then 0 else round_even(round_even((x - low) / delta * 1073741824, 0) / 1073741824, 0)::int end) n from qua)"""
 CAN = """can as (select q_id, y, vec_id, v, cluster_id, probe_rank, d2, d2 + g2 + low * factor_ppc
   + (2.0 * list_sum(list_transform(range(1, 65), lambda i: case when r[i] > 0 then n[i] else 0 end)) - list_sum(n)) * factor_ip * delta - error_bound * sqrt(g2) rough
   from idx join qnt using (cluster_id))"""
@@ -169,22 +170,37 @@ def vec_sign_sum(spark, d):
     return doubles(spark, d).select("vec_id", V.total(V.signs(F.col("v"))).alias("sign_sum"))
 
 
+def probed_residuals(spark, d) -> DataFrame:
+    """q_id, cluster_id, t (the query less the centroid), low and delta for each query's nearest clusters, by expressions."""
+    near = probed(spark, d).select("q_id", "cluster_id")
+    t = near.join(the_queries(spark, d), "q_id").join(the_centroids(spark, d), "cluster_id").select("q_id", "cluster_id", V.residual(V.vector(F.col("qv")), F.col("centroid")).alias("t"))
+    return t.withColumn("low", F.array_min("t")).withColumn("delta", V.step_size(F.col("low"), F.array_max("t")))
+
+
+def summed(n: Column) -> Column:
+    return F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 @query("query_quantize", f"with {EMB}, {CEN}, {QUE}, {PRO} select q_id, cluster_id, round(low, 6) + 0.0 as low, round(delta, 6) + 0.0 as delta, list_sum(n)::bigint as q_sum from qnt")
 def query_quantize(spark, d):
-    df = the_queries(spark, d).crossJoin(F.broadcast(the_centroids(spark, d)))  # stated queries, by labels
-    df = df.select("q_id", "cluster_id", V.residual(V.vector(F.col("qv")), F.col("centroid")).alias("t"), V.l2(V.vector(F.col("qv")), F.col("centroid"), DIM).alias("g2"))
-    df = S.top_k(df, PROBE, "g2", "cluster_id").withColumn("low", F.array_min("t")).withColumn("delta", V.step_size(F.col("low"), F.array_max("t")))
-    total = F.aggregate(V.quantize(F.col("t"), F.col("low"), F.col("delta")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return df.select("q_id", "cluster_id", six("low"), six("delta"), total.alias("q_sum"))
+    df = probed_residuals(spark, d)
+    return df.select("q_id", "cluster_id", six("low"), six("delta"), summed(V.quantize(F.col("t"), F.col("low"), F.col("delta"))).alias("q_sum"))
+
 
+BIASED = "list_sum(list_transform(range(1, 65), lambda i: case when delta = 0 then 0 else floor((t[i] - low) / delta + {bias})::int end))::bigint as q_sum"
 
-@query("query_quantize_biased", f"with {EMB}, {CEN}, {QUE}, {PRO} select q_id, cluster_id, list_sum(list_transform(t, lambda x: case when delta = 0 then 0 else floor((x - low) / delta + 0.5)::int end))::bigint as q_sum from qua")
+
+@query("query_quantize_biased", f"with {EMB}, {CEN}, {QUE}, {PRO} select q_id, cluster_id, {BIASED.format(bias='0.5')} from qua")
 def query_quantize_biased(spark, d):
-    df = the_queries(spark, d).crossJoin(F.broadcast(the_centroids(spark, d)))
-    df = df.select("q_id", "cluster_id", V.residual(V.vector(F.col("qv")), F.col("centroid")).alias("t"), V.l2(V.vector(F.col("qv")), F.col("centroid"), DIM).alias("g2"))
-    df = S.top_k(df, PROBE, "g2", "cluster_id").withColumn("low", F.array_min("t")).withColumn("delta", V.step_size(F.col("low"), F.array_max("t")))
-    n = V.quantize_biased(F.col("t"), F.col("low"), F.col("delta"), F.array_repeat(F.lit(0.5), DIM))
-    return df.select("q_id", "cluster_id", F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x).alias("q_sum"))
+    bias = F.array(*map(F.lit, rotation.fixed_bias(DIM).tolist()))
+    return probed_residuals(spark, d).select("q_id", "cluster_id", summed(V.quantize_biased(F.col("t"), F.col("low"), F.col("delta"), bias)).alias("q_sum"))
+
+
+@query("query_quantize_random_bias", f"with {EMB}, {CEN}, {QUE}, {PRO} select q_id, cluster_id, {BIASED.format(bias=f'({rotation.random_bias(DIM).tolist()})[i]')} from qua")
+def query_quantize_random_bias(spark, d):
+    """Seeded biases, which the SQL holds as numbers."""
+    bias = F.array(*map(F.lit, rotation.random_bias(DIM).tolist()))
+    return probed_residuals(spark, d).select("q_id", "cluster_id", summed(V.quantize_biased(F.col("t"), F.col("low"), F.col("delta"), bias)).alias("q_sum"))
 
 
 PLANES = ", ".join(BITS.format(x="n", cond=f" >> {j} & 1 = 1").replace("n[i + 1] >>", "(n[i + 1] >>").replace("& 1 =", "& 1) =") + f" as plane_{j}" for j in range(4))
@@ -202,11 +218,9 @@ def query_bitplanes_expression(spark, d):
     return planes.select("vec_id", *[F.col("p")[j][0].alias(f"plane_{j}") for j in range(4)])
 
 
-@query("binary_dot", f"with {EMB}, {QUE} select q_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: (v[i] > 0 and y[i] > 0)::int))::int as bits from e, q")
+@query("binary_dot", f"with {EMB}, {CEN} select vec_id, list_sum(list_transform(range(1, 65), lambda i: (v[i] > 0 and c[i] > 0)::int))::int as bits from e join cen on label = cluster_id")
 def binary_dot(spark, d):
-    codes = doubles(spark, d).select("vec_id", V.sign_code(F.col("v"), DIM).alias("code"))
-    asked = the_queries(spark, d).select("q_id", V.sign_code(V.vector(F.col("qv")), DIM).alias("asked"))
-    return codes.crossJoin(F.broadcast(asked)).select("q_id", "vec_id", V.binary_dot(F.col("code"), F.col("asked"), 1).cast("int").alias("bits"))  # stated queries
+    return with_centroid(spark, d).select("vec_id", V.binary_dot(V.sign_code(F.col("v"), DIM), V.sign_code(F.col("centroid"), DIM), 1).cast("int").alias("bits"))
 
 
 @query("asym_binary_dot", f"with {EMB}, {CEN}, {QUE}, {ASG}, {IDX}, {PRO} select q_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: case when r[i] > 0 then n[i] else 0 end))::int as asym from idx join qnt using (cluster_id)")
@@ -379,10 +393,12 @@ def hierarchical_centroids(spark, d):
     return found_.select("cluster_id", F.posexplode("centroid").alias("at", "value")).select("cluster_id", "at", six("value"))
 
 
-@query("query_response_json", f"""with {ALL}, {TWO} select q_id, '{{"ids":[' || string_agg(vec_id::varchar, ',' order by rank) || ']}}' as response from two group by q_id""")
+@query("query_response_json", f"with {ALL}, {TWO} select q_id, rank::int as rank, vec_id, round(dist, 6) + 0.0 as score from two")
 def query_response_json(spark, d):
+    """Responses, read back: ids and scores in rank order."""
     asked = evaluate.responses(S.search(the_index(spark, d), the_queries(spark, d), PROBE, K))
-    return asked.select("q_id", F.to_json(F.from_json("response", "ids array<bigint>")).alias("response"))
+    read = asked.select("q_id", F.from_json("response", "ids array<bigint>, scores array<double>").alias("r"))
+    return read.select("q_id", F.posexplode(F.arrays_zip("r.ids", "r.scores")).alias("at", "x")).select("q_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), six("x.scores", "score"))
 
 
 ROUND_TRIP = "select (row_number() over (order by vec_id) - 1)::bigint as ordinal, round(list_sum(embedding::double[]), 6) + 0.0 as total, len(embedding)::int as size, embedding[64] as last from embeddings"
@@ -418,15 +434,45 @@ def index_json_roundtrip(spark, d):
     return Index.load_json(spark, path).codes.select("vec_id", "cluster_id", F.col("code")[0].alias("code"), *map(six, FACTORS))
 
 
-@query("rotated_distance", f"with {EMB}, {QUE} select q_id, vec_id, round({L2.format(a='v', b='y')}, 6) + 0.0 as dist from e, q")
+@query("rotated_distance", f"with {EMB}, {CEN} select vec_id, round({L2.format(a='v', b='c')}, 6) + 0.0 as dist from e join cen on label = cluster_id")
 def rotated_distance(spark, d):
     """A random rotation leaves distances as they are."""
     turn = rotation.random_orthogonal(DIM)
-    rows = cluster.rotate(doubles(spark, d), "v", turn)
-    asked = cluster.rotate(the_queries(spark, d).select("q_id", V.vector(F.col("qv")).alias("y")), "y", turn)
-    return rows.crossJoin(F.broadcast(asked)).select("q_id", "vec_id", six(V.l2(F.col("v"), F.col("y"), DIM), "dist"))  # stated queries
+    both = cluster.rotate(cluster.rotate(with_centroid(spark, d).select("vec_id", "v", "centroid"), "v", turn), "centroid", turn)
+    return both.select("vec_id", six(V.l2(F.col("v"), F.col("centroid"), DIM), "dist"))
 
 
-@query("qr_rotation_search")
+#: The same with the rotation's columns in the SQL: codes, queries and centroids are turned, exact distances are not.
+TURN = rotation.random_orthogonal(DIM)
+TURNED = "list_transform(range(1, 65), lambda j: list_sum(list_transform(range(1, 65), lambda i: {x}[i] * (rot[j])[i])))"
+ROT = f"rot as materialized (select {[[float(x) for x in TURN[:, j]] for j in range(DIM)]}::double[][] rot)"
+TURNED_ALL = (
+    f"{ROT}, raw as (select vec_id, label, embedding::double[] v from embeddings), e as materialized (select vec_id, label, {TURNED.format(x='v')} v from raw, rot), "
+    + ", ".join([CEN, f"q as (select vec_id q_id, v y from e where vec_id % {EVERY} = 0)", ASG, IDX, PRO, CAN, EXA])
+)
+
+
+@query("qr_rotation_search", f"with {TURNED_ALL}, {TWO} select q_id, vec_id, round(dist, 6) + 0.0 as dist, rank::int as rank from two")
 def qr_rotation_search(spark, d):
-    return found(S.search(the_index(spark, d, rotation.random_orthogonal(DIM)), the_queries(spark, d), PROBE, K))
+    return found(S.search(the_index(spark, d, TURN), the_queries(spark, d), PROBE, K))
+
+
+@query(
+    "hierarchical_full",
+    f"""with {PTS}, {lloyd_sql('pts', 4, 3, 'w')},
+    low as (select vec_id, v, h, k top from (select vec_id, v, h, k, {L2.format(a='v', b='c')} d from pts, w3) qualify row_number() over (partition by vec_id order by d, k) = 1), {lloyd_sql('low', 3, 3, 'x', 'top')}
+    select (top * 3 + k)::int as cluster_id, {VALUES} from x3, range(1, 65) t(i)""",
+)
+def hierarchical_full(spark, d):
+    """All rows train both levels."""
+    found_ = cluster.hierarchical_kmeans(embeddings(spark, d), "embedding", 4, 3, DIM, None, 3)
+    return found_.select("cluster_id", F.posexplode("centroid").alias("at", "value")).select("cluster_id", "at", six("value"))
+
+
+@query("index_files_roundtrip", f"with {EMB}, {CEN}, {ASG}, {IDX} select vec_id, cluster_id::int as cluster_id, {BITS.format(x='r', cond=' > 0')} as code, {', '.join(f'round({c}::float::double, 4) + 0.0 as {n}' for n, c in zip(('center_distance_square', 'factor_ip', 'factor_ppc', 'error_bound'), ('d2', 'factor_ip', 'factor_ppc', 'error_bound')))} from idx")
+def index_files_roundtrip(spark, d):
+    """The six files, written and read: codes as they were, factors in 32 bits."""
+    path = mounted(shared_folder(spark))
+    index_files.dump_index_files(the_index(spark, d), path)
+    factors = [(F.round(n, 4) + F.lit(0.0)).alias(n) for n in FACTORS]
+    return index_files.load_index_files(spark, path).codes.select("vec_id", "cluster_id", F.col("code")[0].alias("code"), *factors)

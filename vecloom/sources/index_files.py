@@ -39,7 +39,7 @@ def values(path: str, name: str, at: int, n: int, dtype: str) -> np.ndarray:
 
 
 def load_index_files(spark: SparkSession, path: str) -> Index:
-    """codes and base as tables; vec_id is the row number of the original file."""
+    """codes (with pos, the place in index order) and base as tables; vec_id is the row number of the original file."""
     turn, centres = small(path, TURN), small(path, CENTRES).T
     dim = len(turn)
     if dim % 64:
@@ -58,11 +58,11 @@ def load_index_files(spark: SparkSession, path: str) -> Index:
                 base = values(path, BASE, i * (4 + 4 * dim), m * (dim + 1), "<f4").reshape(m, dim + 1)[:, 1:].astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((np.searchsorted(offsets, place, "right") - 1).astype(np.int32)), pa.array(values(path, IDS, after + 4 * i, m, "<u4").astype(np.int64)), lists(values(path, CODES, 4 + 8 * words * i, words * m, "<i8").reshape(m, words)),
-                     *[pa.array(factors[:, j]) for j in range(4)], lists(base)],
-                    ["cluster_id", "vec_id", "code", *FACTORS, "embedding"],
+                     *[pa.array(factors[:, j]) for j in range(4)], pa.array(place), lists(base)],
+                    ["cluster_id", "vec_id", "code", *FACTORS, "pos", "embedding"],
                 )
 
-    shape = "cluster_id int, vec_id bigint, code array<bigint>, " + ", ".join(f"{f} double" for f in FACTORS) + ", embedding array<double>"
+    shape = "cluster_id int, vec_id bigint, code array<bigint>, " + ", ".join(f"{f} double" for f in FACTORS) + ", pos bigint, embedding array<double>"
     starts = spark.range(0, n, ROWS).repartition(max(1, -(-n // ROWS)))
     table = starts.mapInArrow(rows, shape)
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id int, centroid array<double>")

@@ -104,7 +104,7 @@ class Written(WriterCommitMessage):
 
 
 class VecsWriter(DataSourceWriter):
-    """A file for each task, named by the task; files of tasks that failed go."""
+    """A file for each task, named by the task; a task that fails removes its own, an aborted job those of tasks that had ended."""
 
     def __init__(self, options: dict, schema):
         self.dtype, self.root = options.get("dtype", "f32"), options["path"]
@@ -114,12 +114,18 @@ class VecsWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         task, path, out = TaskContext.get(), None, None
-        for r in rows:
-            if out is None:
-                os.makedirs(self.root, exist_ok=True)
-                path = os.path.join(self.root, f".part-{task.partitionId():06d}-{task.taskAttemptId()}.vecs")
-                out = open(path, "wb")  # noqa: SIM115
-            out.write(encode([r[self.column]], self.dtype))
+        try:
+            for r in rows:
+                if out is None:
+                    os.makedirs(self.root, exist_ok=True)
+                    path = os.path.join(self.root, f".part-{task.partitionId():06d}-{task.taskAttemptId()}.vecs")
+                    out = open(path, "wb")  # noqa: SIM115
+                out.write(encode([r[self.column]], self.dtype))
+        except BaseException:  # this attempt's file has no message that would name it
+            if out is not None:
+                out.close()
+                os.remove(path)
+            raise
         if out is not None:
             out.close()
         return Written(path)
