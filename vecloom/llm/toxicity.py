@@ -151,6 +151,9 @@ def options(token: str) -> Iterator[list[tuple[str, float]]]:
         before = c
 
 
+NOWHERE: frozenset[int] = frozenset()
+
+
 class Restorer:
     """Tokens as they were meant."""
 
@@ -161,6 +164,8 @@ class Restorer:
             model = (1 - LEXICON_SHARE) * model + LEXICON_SHARE * np.exp(log_model(own * 20))
         self.model, self.lexicon, self.trie = np.log(model), lexicon, Trie(lexicon)
         self.longest = max([len(e) for e in lexicon], default=0)
+        self.heads = {e[:3] for e in lexicon}  # no entry is shorter
+        self.pieces = {e[:n]: frozenset(self.trie.walk({0}, options(e[:n]), False)) for e in lexicon if e[-1] != "*" for n in range(1, len(e) + 1) if not REPEATED.search(e[:n])}
         self.known: dict[str, tuple[str | None, frozenset[int]]] = {}
 
     def decode(self, token: str) -> str:
@@ -212,6 +217,11 @@ class Restorer:
         return found, frozenset() if found or core.isdigit() else frozenset(self.trie.walk({0}, options(token.lstrip(NEUTRAL)), False) - {0})
 
     def known_(self, token: str) -> tuple[str | None, frozenset[int]]:
+        """look(), without walks for tokens whose letters can only be themselves; what needs one is remembered."""
+        core = token.strip(NEUTRAL)
+        if core.isalpha() and not REPEATED.search(core):
+            found = self.entry(core) if core[:3] in self.heads else None
+            return (found, NOWHERE) if found else (None, self.pieces.get(core, NOWHERE))
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= KEPT:
@@ -237,16 +247,19 @@ class Restorer:
         for last, some in chunks(text):
             tokens = left + some.lower().split()
             n += len(tokens) - len(left)
-            found = {t: self.known_(t) for t in set(tokens)}
+            found = {t: x for t in set(tokens) if (x := self.known_(t)) != (None, NOWHERE)}
             stop = len(tokens) if last else max(0, len(tokens) - self.longest)
-            i = 0
-            while i < stop:
-                nodes = found[tokens[i]][1]
-                entry, i = self.spaced(tokens, i, nodes) if nodes else (None, i + 1)
-                if entry:
-                    out.append(entry)
-            out += [e for t in tokens[:i] if (e := found[t][0])]
-            left = tokens[i:]
+            at = stop  # the first token that no word found before holds
+            if found:
+                i = 0
+                for k in [k for k, t in enumerate(tokens) if t in found]:
+                    if i <= k < stop and (nodes := found[tokens[k]][1]):
+                        entry, i = self.spaced(tokens, k, nodes)
+                        if entry:
+                            out.append(entry)
+                            at = max(at, i)
+                out += [e for t in tokens[:at] if t in found and (e := found[t][0])]
+            left = tokens[at:]
         return n, out
 
 
