@@ -258,9 +258,18 @@ def test_manhattan_distance_of_embeddings():
     assert (got == np.abs(counts(x) - counts(y)).sum(axis=1)).all() and (got <= np.bitwise_count(x ^ y)).all() and (got < np.bitwise_count(x ^ y)).any()
 
 
-def test_fingerprints_of_shingles_agree():
-    for t in (b"", b"a", b"a b", *[x.encode() for x in prose(5, 20)]):
-        assert simhash.print_of(simhash.shingle_hashes(t, 3)) == int.from_bytes(simhash.fingerprint(t), signed=True)
+def test_shingles_of_pieces(monkeypatch):
+    texts = [b"", b" ", b"a", b"a b", b"a B c", b"\x0ba\tb\n" * 9, b"word " * 40, b"x" * 90, b"x" * 90 + b" y z " * 9, *[x.encode() for x in prose(5, 30)]]
+    for size in (3, 40, 1 << 20):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        for t in texts:
+            assert b"".join(simhash.pieces(t)) == t
+            for n in (1, 3, 5):
+                w = t.lower().split()
+                want = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))] if w else []
+                assert simhash.shingle_hashes(t, n).tolist() == want
+                bits = sum(1 << b for b in range(64) if want and 2 * sum(x >> b & 1 for x in want) > len(want))
+                assert int.from_bytes(simhash.fingerprint(t, n)) == bits
 
 
 def jaccard(a, b):

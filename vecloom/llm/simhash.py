@@ -14,6 +14,7 @@ that (a pair at 0.8 has a chance below 0.01), so minima of the shingles' hashes
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +27,51 @@ from vecloom.llm.common import NULL_ID, ends, keyed, settle, shuffle_partitions,
 
 BITS, DISTANCE, PARTS, LIMIT = 64, 3, 4, 2048
 LEVELS, BLOCK, STRIPE = 4, 8192, 128
-SHINGLES = 1 << 16
+SHINGLES, PIECE, SPACE = 1 << 16, 1 << 20, re.compile(rb"[ \t\n\r\x0b\x0c]")
 BANDS, ROWS, SURE = 24, 5, 3.3
 LINK = "struct<doc_id: bigint, key: bigint>"
 #: What each of the minima mixes the shingles' hashes with: a mask and an odd factor.
 MIX = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64) | np.array([0, 1], np.uint64)
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space, PIECE bytes or little more at a time."""
+    i = 0
+    while len(text) - i > 2 * PIECE and (found := SPACE.search(text, i + PIECE)):
+        yield text[i : found.start()]
+        i = found.start()
+    yield text[i:] if i else text
+
+
+def shingles(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles, repeats included, piece by piece. Fewer words than a shingle: the whole sequence; no words: none."""
+    left: list[bytes] = []
+    digest, some = xxhash.xxh64_intdigest, False
+    for last, piece in ends(pieces(text)):
+        found = left + (piece or b"").lower().split()
+        left = found
+        if last and (some or not found) or not last and len(found) < words:
+            continue
+        joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+        start = np.cumsum(size + 1) - size - 1
+        k = max(1, len(found) - words + 1)
+        begin, end = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist()
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, k)
+        left, some = found[k:], True
+
+
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> bytes:
-    """8 bytes, the highest bit first."""
-    found = text.lower().split()
-    if not found:
-        return bytes(8)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return xxhash.xxh64_digest(joined, seed)
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    start = np.cumsum(size + 1) - size - 1
-    begin = start[: len(found) - words + 1].tolist()
-    end = (start + size)[words - 1 :].tolist()
-    count, digest = np.zeros(BITS, np.int64), xxhash.xxh64_digest
-    for i in range(0, len(begin), SHINGLES):
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(begin[i : i + SHINGLES], end[i : i + SHINGLES], strict=True)])
-        count += bit_counts(np.frombuffer(hashes, np.uint8))
-    return np.packbits(2 * count > len(begin)).tobytes()
+    """8 bytes, the highest bit first: those that over half the shingles' hashes have."""
+    return print_of(shingles(text, words, seed))
+
+
+def print_of(hashes: Iterator[np.ndarray]) -> bytes:
+    count, n = np.zeros(BITS, np.int64), 0
+    for h in hashes:
+        for i in range(0, len(h), SHINGLES):
+            count += bit_counts(h[i : i + SHINGLES].astype(">u8").view(np.uint8))
+        n += len(h)
+    return np.packbits(2 * count > n).tobytes()
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -224,15 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """The XXH64 of a text's shingles. Fewer words than a shingle: the whole sequence; no words: none."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
-    start = np.cumsum(size + 1) - size - 1
-    k = max(1, len(found) - words + 1)
-    begin, end, digest = start[:k].tolist(), (start + size)[min(words, len(found)) - 1 :].tolist(), xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, k)
+    """shingles() as one array."""
+    return np.concatenate([np.zeros(0, np.uint64), *shingles(text, words, seed)])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -273,7 +288,7 @@ def sketches(words: int):
                 names.append(xxhash.xxh3_128_digest(x.tobytes()))
                 size.append(len(x))
                 bands.append(np.array(band_keys(least) if len(x) else [], np.uint64))
-                prints.append(print_of(h))
+                prints.append(int.from_bytes(print_of([h]), signed=True))
                 marks.append(least.astype(np.uint8).tobytes())
             s = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -284,14 +299,6 @@ def sketches(words: int):
     return run
 
 
-def print_of(hashes: np.ndarray) -> int:
-    """The fingerprint of these shingles, signed; of none: zero."""
-    count = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), SHINGLES):
-        count += bit_counts(hashes[i : i + SHINGLES].astype(">u8").view(np.uint8))
-    return int(np.packbits(2 * count > len(hashes)).view(">i8")[0])
-
-
 def sets_of(words: int):
     """The set of shingles of each text, in batches of about 4 MB of text."""
 

@@ -227,6 +227,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         if out is not None:
             files.close()
             out.close()
+            words.known.clear()  # the worker lives on
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": [len(files.index)], "n_tokens": [total]})
 
     ordered = (
