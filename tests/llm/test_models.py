@@ -26,6 +26,32 @@ def test_network_learns_and_scores_whole_texts(spark):
     assert kept.columns == docs.columns and kept.count() == scores.where("score >= 0.5").count()
 
 
+def plain_score(net, text):
+    """The network's probability by loops over chunks, places and filters."""
+    c, step, w = quality.CHUNK, quality.STEP, quality.WIDTH
+    starts = [0]
+    while starts[-1] + c < len(text):
+        starts.append(starts[-1] + step)
+    units = []
+    for a in starts:
+        part = text[a : a + c].ljust(c, b"\0")
+        best = np.full(quality.FILTERS, -np.inf)
+        for i in range(0, c - w + 1, 2):
+            x = np.concatenate([net.emb[b] for b in part[i : i + w]])
+            best = np.maximum(best, sum(x[2 * quality.DIM * s : 2 * quality.DIM * (s + 1)] @ net.conv[s] for s in range(w // 2)))
+        units.append(np.maximum(np.maximum(best + net.bias, 0) @ net.w1 + net.b1, 0))
+    z = np.concatenate([np.max(units, axis=0), np.mean(units, axis=0)]) @ net.w2 + net.b2
+    return float(1 / (1 + np.exp(-z[0])))
+
+
+def test_forward_pass_against_loops():
+    net = quality.Network.new(3)
+    texts = [b"", b"a", b"x" * 255, b"y" * 256, b"z" * 257, *[t.encode() for t in prose(4, 6, 200)], bytes(range(1, 256)) * 4]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.scores(np.frombuffer(b"".join(texts), np.uint8), at)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5) and got.std() > 0
+
+
 def test_chunks_cover_all_bytes():
     data = np.arange(2000, dtype=np.int64).astype(np.uint8)
     at = np.array([0, 0, 1, 256, 257 + 256, 2000])
