@@ -182,6 +182,14 @@ def test_decoding_against_all_paths():
         assert own.restored(t) == (own.entry(got) if spells else None)
 
 
+def test_triples_in_chunks(monkeypatch):
+    text = " ".join(prose(8, 40)).upper() + " é.x" * 9
+    want = toxicity.triples(text.lower()).reshape(toxicity.CLASSES, -1)
+    monkeypatch.setattr(toxicity, "CHUNK", 30)
+    got = sum(toxicity.triples(x.lower()) for _, x in toxicity.chunks(text)).reshape(toxicity.CLASSES, -1)
+    assert len(list(toxicity.chunks(text))) > 20 and (got[1:] == want[1:]).all()
+
+
 def test_triples_of_all_documents(spark):
     texts = awkward()
     want = sum(toxicity.triples((t or "").lower()).astype(np.int64) for _, t in texts)

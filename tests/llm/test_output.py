@@ -216,6 +216,14 @@ def test_mix(spark, monkeypatch):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_words_of_long_texts_are_counted_in_pieces(monkeypatch):
+    for piece in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        for t in ("", " ", "a", " a b  c\n", "é\u3000é x" * 5, "\x0b\x1cabc d"):
+            data = np.frombuffer(("zz" + t).encode(), np.uint8)
+            assert mixing.count_words(data, np.array([2, len(data)])).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t))]
+
+
 def test_pivot_keeps_mass_and_expectations():
     r, n, sums = random.Random(2), 12, np.zeros(12)
     size = [float(r.randint(1, 9)) for _ in range(n)]

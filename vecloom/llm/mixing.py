@@ -23,7 +23,7 @@ from vecloom.llm.common import keyed, settle, shuffle_partitions, slabs, strings
 
 #: [\x20\x09-\x0D] in UTF-8 bytes.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-BUCKET, FAN, SEED = 4096, 256, 42
+BUCKET, FAN, SEED, PIECE = 4096, 256, 42, 4 << 20
 
 
 def row_key() -> Column:
@@ -32,7 +32,13 @@ def row_key() -> Column:
 
 
 def count_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> np.ndarray:
-    """Runs of other bytes in each value."""
+    """Runs of other bytes in each value. A long value goes in pieces."""
+    if len(at) == 2 and at[1] - at[0] > PIECE:
+        n, before = 0, True
+        for i in range(int(at[0]), int(at[1]), PIECE):
+            gap = np.concatenate([[before], space[data[i : min(i + PIECE, int(at[1]))]]])
+            n, before = n + int((gap[:-1] & ~gap[1:]).sum()), gap[-1]
+        return np.array([n])
     gap = np.concatenate([[True], space[data[at[0] : at[-1]]]])
     first = gap[:-1] & ~gap[1:]
     inner = (at[:-1] - at[0])[at[:-1] < at[1:]]

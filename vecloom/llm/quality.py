@@ -24,18 +24,26 @@ WIDTH, DIM, FILTERS, HIDDEN = 8, 8, 24, 16
 MOST, MOST_BYTES, EPOCHS, BATCH = 3000, 16 << 20, 14, 48
 
 
-def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks of all texts, padded with zeros, and which begin a text. An empty text has one."""
+def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the chunks of all texts begin, how many bytes their text has from there, and which begin a text. An empty text has one."""
     size = np.diff(at)
     n = np.maximum(1, -(-(size - CHUNK) // STEP) + 1)
     head = np.cumsum(n) - n
-    nth = np.arange(n.sum()) - np.repeat(head, n)
-    begin = np.repeat(at[:-1], n) + nth * STEP
-    left = np.repeat(at[1:], n) - begin
-    where = begin[:, None] + np.arange(CHUNK)
-    out = np.concatenate([data, np.zeros(CHUNK, np.uint8)])[np.minimum(where, len(data) + CHUNK - 1)]
+    begin = np.repeat(at[:-1], n) + (np.arange(n.sum()) - np.repeat(head, n)) * STEP
+    return begin, np.repeat(at[1:], n) - begin, head
+
+
+def gather(data: np.ndarray, begin: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Chunks, padded with zeros."""
+    out = data[np.minimum(begin[:, None] + np.arange(CHUNK), len(data) - 1)] if len(data) else np.zeros((len(begin), CHUNK), np.uint8)
     out[np.arange(CHUNK) >= left[:, None]] = 0
-    return out, head
+    return out
+
+
+def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of some texts, and which begin a text."""
+    begin, left, head = places(at)
+    return gather(data, begin, left), head
 
 
 @dataclass
@@ -75,9 +83,9 @@ class Network:
         return np.concatenate([np.maximum.reduceat(u, head), np.add.reduceat(u, head) / n], axis=1).astype(u.dtype)
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A probability for each text."""
-        some, head = chunks(data, at)
-        v = np.concatenate([self.pooled(some[i : i + 256])[1] for i in range(0, len(some), 256)])
+        """A probability for each text; 256 chunks are in work at a time."""
+        begin, left, head = places(at)
+        v = np.concatenate([self.pooled(gather(data, begin[i : i + 256], left[i : i + 256]))[1] for i in range(0, len(begin), 256)])
         z = self.combine(self.features(v), head) @ self.w2 + self.b2
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 

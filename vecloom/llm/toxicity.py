@@ -70,7 +70,8 @@ def corpus_triples(docs: DataFrame) -> np.ndarray:
             data, at = strings(b.column(0))
             for i, j in slabs(at, 1 << 20):
                 parts = [data[x:y].tobytes().decode() for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
-                total += triples(" ".join(parts).lower())
+                for _, some in chunks(" ".join(parts)):  # cut before white space, which is a boundary anyway
+                    total += triples(some.lower())
         rows = total.reshape(CLASSES, -1)
         yield pa.RecordBatch.from_pydict({"a": pa.array(range(CLASSES), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in rows], pa.binary())})
 
