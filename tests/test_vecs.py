@@ -51,3 +51,17 @@ def test_written_files_follow_an_order(spark, tmp_path):
     vecs.write_vecs(df, str(tmp_path / "out"), "v", order="vec_id")
     assert [r.vec[0] for r in vecs.read_vecs(spark, str(tmp_path / "out")).orderBy("ordinal").collect()] == [1.0, 3.0, 5.0, 9.0]
     assert struct.unpack("<I", vecs.encode([[1.0] * 7], "f32")[:4]) == (7,)
+
+
+def test_some_records(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"p{k}.vecs").write_bytes(vecs.encode([[k, i, 7] for i in range(10)], "i32"))
+    want = [[k, i, 7] for k in range(2) for i in range(10)]
+    for first, count in ((0, 3), (8, 5), (19, 9), (25, 2), (3, 0)):
+        for more in ({}, {"tolerant": "true"}):
+            got = vecs.read_vecs(spark, str(tmp_path), "i32", first=str(first), count=str(count), **more).orderBy("ordinal").collect()
+            assert [(r.ordinal, r.vec) for r in got] == [(n, want[n]) for n in range(first, min(20, first + count))]
+    (tmp_path / "ragged").mkdir()
+    (tmp_path / "ragged" / "r.vecs").write_bytes(vecs.encode([[1] * n for n in range(1, 8)], "i32"))
+    got = vecs.read_vecs(spark, str(tmp_path / "ragged"), "i32", ragged="true", first="2", count="3").orderBy("ordinal").collect()
+    assert [(r.ordinal, len(r.vec)) for r in got] == [(2, 3), (3, 4), (4, 5)]

@@ -184,7 +184,7 @@ def test_offsets_have_empty_clusters(spark):
     placed = spark.createDataFrame([(0, 0, 1.0), (1, 2, 2.0), (2, 2, 1.0)], "vec_id long, cluster_id int, center_distance_square double")
     cent = centroids(spark, np.zeros((4, 2)))
     assert [tuple(r) for r in cluster.offsets(placed, cent).orderBy("cluster_id").collect()] == [(0, 1, 0), (1, 0, 1), (2, 2, 1), (3, 0, 3)]
-    assert [r.vec_id for r in cluster.layout(placed, cent).orderBy("pos").collect()] == [0, 2, 1]
+    assert [r.vec_id for r in cluster.layout(placed).orderBy("pos").collect()] == [0, 2, 1]
 
 
 def test_hierarchy_with_few_rows(spark):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.kernels import nearest, rotate
+from vecloom.functions.kernels import BLOCK_BYTES, nearest, rotate
 from vecloom.sources.folders import stored
 
 __all__ = ["assign", "centroid_means", "hash_sample", "hierarchical_kmeans", "kmeans", "layout", "lloyd_step", "nested_lloyd", "offsets", "rotate"]
@@ -39,20 +39,22 @@ def offsets(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return every.select("cluster_id", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
-def layout(assigned: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
-    """Each row's place in the index: by cluster, distance to its centre, id.
-
-    The rows are sorted in ranges, so a large cluster is in several tasks; the driver gets a number for each range.
-    """
-    spark, order = assigned.sparkSession, ("cluster_id", "center_distance_square", "vec_id")
-    ranges = assigned.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df and each row's place (from 0) in an order. The rows are sorted in ranges; the driver gets a number for each range."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     ranges = stored(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     before, rows = 0, []
     for part, n in sorted(map(tuple, ranges.groupBy("_part").count().collect())):
         rows.append((part, before))
         before += n
     starts = spark.createDataFrame(rows, "_part int, _before long")
-    return ranges.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    return ranges.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def layout(assigned: DataFrame) -> DataFrame:
+    """Each row's place in the index: by cluster, distance to its centre, id. A large cluster is in several tasks."""
+    return numbered(assigned, ["cluster_id", "center_distance_square", "vec_id"], "pos")
 
 
 def hash_sample(df: DataFrame, n: int, id_: str = "vec_id", by: str | None = None) -> DataFrame:
@@ -64,19 +66,20 @@ def hash_sample(df: DataFrame, n: int, id_: str = "vec_id", by: str | None = Non
     return df.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
 
 
-def kmeans(df: DataFrame, column: str, k: int, dim: int, steps: int = 10, seed: Column | None = None, id_: str = "vec_id") -> DataFrame:
-    """Lloyd's k-means from the first k rows of hash_sample: cluster_id and centroid. Steps' centroids are small and are kept on the driver.
+def held(centroids: DataFrame, n: int, dim: int) -> DataFrame:
+    """Centroids computed once: up to a block of them on the driver, more in the shared folder."""
+    if n * dim * 8 > BLOCK_BYTES:
+        return stored(centroids)
+    return centroids.sparkSession.createDataFrame(sorted(map(tuple, centroids.collect())), centroids.schema)
 
-    The k first centroids are k rows by the hash of their id; a cluster that loses all its rows keeps its centre.
-    """
-    spark = df.sparkSession
-    first = hash_sample(df if seed is None else df.where(seed), k, id_).select(column).collect()  # k vectors
-    shape = "cluster_id int, centroid array<double>"
-    pad = lambda v: [float(x) for x in v] + [0.0] * (dim - len(v))
-    centroids = spark.createDataFrame([(i, pad(r[0])) for i, r in enumerate(first)], shape)
+
+def kmeans(df: DataFrame, column: str, k: int, dim: int, steps: int = 10, seed: Column | None = None, id_: str = "vec_id") -> DataFrame:
+    """Lloyd's k-means from the first k rows of hash_sample: cluster_id and centroid. A cluster that loses all its rows keeps its centre."""
+    first = hash_sample(df if seed is None else df.where(seed), k, id_).select(F.md5(F.col(id_).cast("string")).alias("_h"), F.col(id_).alias("_id"), F.col(column).cast("array<double>").alias("_v"))
+    filled = F.concat("_v", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(dim) - F.size("_v"))))
+    centroids = held(numbered(first, ["_h", "_id"], "_n").select(F.col("_n").cast("int").alias("cluster_id"), filled.alias("centroid")), k, dim)
     for _ in range(steps):
-        step = lloyd_step(df, centroids, column, dim).select("cluster_id", "centroid").orderBy("cluster_id").collect()  # k vectors
-        centroids = spark.createDataFrame([(r[0], r[1]) for r in step], shape)
+        centroids = held(lloyd_step(df, centroids, column, dim).select("cluster_id", "centroid"), k, dim)
     return centroids
 
 

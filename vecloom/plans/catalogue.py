@@ -260,7 +260,7 @@ def cluster_sizes_offsets(spark, d):
 
 @query("cluster_layout", f"with {EMB}, {CEN}, {ASG} select vec_id, cluster_id::int as cluster_id, (row_number() over (order by cluster_id, d2, vec_id) - 1)::bigint as pos from asg")
 def cluster_layout(spark, d):
-    return cluster.layout(assigned(spark, d), the_centroids(spark, d)).select("vec_id", "cluster_id", "pos")
+    return cluster.layout(assigned(spark, d)).select("vec_id", "cluster_id", "pos")
 
 
 FACTORS = ("center_distance_square", "factor_ip", "factor_ppc", "error_bound")
@@ -327,7 +327,7 @@ def ann_search_disk(spark, d):
 def block_misses(spark, d):
     """Blocks of a vector file that the first stage of a search reads, and how often; each is missed once by a cache."""
     near = S.top_k(scored(spark, d), K, "rough", "vec_id").select("q_id", "vec_id")
-    places = cluster.layout(assigned(spark, d), the_centroids(spark, d)).select("vec_id", "pos")
+    places = cluster.layout(assigned(spark, d)).select("vec_id", "pos")
     return S.blocks_of(near.join(places, "vec_id"), DIM).groupBy("block").agg(F.count("*").alias("reads"))
 
 

@@ -104,7 +104,7 @@ def dump_index_files(index: Index, path: str) -> None:
             os.close(f)
         yield pa.RecordBatch.from_pydict({"rows": pa.array([done], pa.int64())})
 
-    placed: DataFrame = cluster.layout(index.codes, index.centroids)
+    placed: DataFrame = cluster.layout(index.codes)
     rows = placed.join(index.base.select("vec_id", "embedding"), "vec_id").select("pos", "vec_id", "code", *FACTORS, F.col("embedding").cast("array<double>").alias("embedding"))
     written = rows.mapInArrow(write, "rows bigint").agg(F.sum("rows")).first()[0] or 0
     if written != n:

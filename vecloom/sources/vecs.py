@@ -3,7 +3,8 @@
 spark.dataSource.register(VecsSource), then format("vecs") with option dtype: f32, i32, u8 or u64 (u64 comes as
 signed). Rows are ordinal and vec. Where all records have the first one's length, a file is read in splits of
 whole records; with option ragged=true it is read by one task. A record cut short is an error, or with option
-tolerant=true the end.
+tolerant=true the end. With options first and count only so many records from that ordinal are read: of records of
+one length no others' bytes.
 """
 
 from __future__ import annotations
@@ -64,6 +65,8 @@ class VecsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.dtype, self.paths = options.get("dtype", "f32"), files(options["path"])
         self.ragged, self.tolerant = (options.get(x, "false").lower() == "true" for x in ("ragged", "tolerant"))
+        self.first = max(0, int(options.get("first", 0)))
+        self.last = self.first + max(0, int(options["count"])) if "count" in options else 1 << 62
 
     def partitions(self) -> list[InputPartition]:
         out, first = [], 0
@@ -78,9 +81,11 @@ class VecsReader(DataSourceReader):
                 out.append(Split(path, 0, size, first))
                 first += size // record
                 continue
+            n = size // record
+            begin, end = (min(max(x - first, 0), n) * record for x in (self.first, self.last))
             step = max(1, SPLIT // record) * record
-            out += [Split(path, i, min(size, i + step), first + i // record) for i in range(0, size, step)]
-            first += size // record
+            out += [Split(path, i, min(end, i + step), first + i // record) for i in range(begin, end, step)]
+            first += n
         return out or [Split(self.paths[0] if self.paths else "", 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
@@ -90,6 +95,8 @@ class VecsReader(DataSourceReader):
                 f.seek(split.begin)
                 data = f.read(split.end - split.begin)
         rows = list(decode(data, self.dtype, self.tolerant))
+        begin = min(max(self.first - split.first, 0), len(rows))  # of ragged files; others' splits are cut
+        rows, split.first = rows[begin : max(begin, self.last - split.first)], split.first + begin
         if not self.ragged and not self.tolerant and any(len(r) != len(rows[0]) for r in rows):
             raise ValueError(f"{split.path}: records of several lengths; set ragged")
         at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
