@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -35,6 +36,12 @@ WORDS_KEPT, SLAB, PART = 800_000, 1 << 20, 1 << 20
 STOPS = ".,!?;:|%#$&*"
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[10] = 32
+LETTER, STOP = (np.isin(np.arange(256), list(x)) for x in (range(97, 123), STOPS.encode()))
+
+
 def ends_in_letter(core: str) -> bool:
     """Whether letters still end in a letter once they are composed and lower-cased (\u0130 doesn't). Other scripts than
     Latin, Greek and Cyrillic aren't judged: the tokenizer's tables may be older or newer than Python's."""
@@ -57,9 +64,10 @@ def parts(text: str) -> Iterator[str]:
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space, lower-cases and marks the ends of pieces.
 
-    Such a tokenizer encodes a text as it encodes what stands between its spaces, one after another. Each
-    distinct such word goes through the library once while it is remembered; at most WORDS_KEPT are. New
-    words of letters go in one call, and the ids that end a piece tell them apart again.
+    Such a tokenizer encodes a text as it encodes what stands between its spaces, one after another; a-z and what
+    is in STOPS after it may be told apart, and A-Z lower-cased, before. Each distinct such word goes through the
+    library once while it is remembered; at most WORDS_KEPT are. New words of letters go in one call, and the ids
+    that end a piece tell them apart again. A text with `<|` is encoded as it is, for it may hold special tokens.
     """
 
     def __init__(self, path: str):
@@ -71,7 +79,6 @@ class WordEncoder:
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -90,38 +97,55 @@ class WordEncoder:
                 at = (4 * np.concatenate([[0], end])).tolist()
                 self.known.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:]))
 
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        split = [(w, w.rstrip(STOPS)) for w in words]
-        cores = [c.lower() if c.isascii() else c for _, c in split]
-        self.letters(list({c for c in cores if c not in known and c.isalpha()}))
-        for (w, c), core in zip(split, cores, strict=True):
-            if not c.isalpha() or len(c) < len(w) and not ends_in_letter(c):
-                known[w] = self.encode(w).tobytes()
-            elif len(c) < len(w):
-                rest = w[len(c) :]
-                if rest not in known:
-                    known[rest] = self.encode(rest).tobytes()
-                known[w] = known[core] + known[rest]
-            elif w not in known:
-                known[w] = known[core]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers. A long text goes in parts, so that its words aren't all held."""
-        if len(texts) == 1 and len(texts[0]) > PART and not any(x in texts[0] for x in self.special):
-            return [b"".join(self.some([x])[0] for x in parts(texts[0]))]
-        return self.some(texts)
-
-    def some(self, texts: list[str]) -> list[bytes]:
-        whole = [any(x in t for x in self.special) for t in texts]  # special tokens aren't words
+    def learn(self, words: list[str]) -> None:
         known = self.known
-        words = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*words).difference(known)
+        self.letters([w for w in words if w.isalpha()])
+        for w in words:
+            if w not in known:
+                c = w.rstrip(STOPS)
+                if c.isalpha() and ends_in_letter(c):
+                    known[w] = self.encode(c).tobytes() + self.encode(w[len(c) :]).tobytes()
+                else:
+                    known[w] = self.encode(w).tobytes()
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has. A long text goes in parts."""
+        text = texts[0].as_py() if len(texts) == 1 else ""
+        if len(text) > PART and "<|" not in text:
+            found = [self.some(pa.array([x], pa.large_string()))[0] for x in parts(text)]
+            return np.concatenate(found), np.array([sum(map(len, found))])
+        special = np.asarray(pc.match_substring(texts, "<|"))
+        if not special.any():
+            return self.some(texts)
+        each = [self.encode(t.as_py()) if s else self.some(texts.slice(k, 1))[0] for k, (t, s) in enumerate(zip(texts, special.tolist(), strict=True))]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids() for texts without special tokens: words by Arrow's dictionary, ids gathered by word."""
+        data, at = strings(texts)
+        low = LOWER[data[at[0] : at[-1]]]
+        gap = LETTER[low[:-1]] & STOP[low[1:]]
+        edge = (at - at[0])[1:-1]
+        gap[edge[(edge > 0) & (edge < len(low))] - 1] = False
+        where = np.flatnonzero(gap) + 1
+        spaced = np.insert(low, where, 32)
+        at = at - at[0] + np.searchsorted(where, at - at[0])
+        words = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(spaced)), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        new = [w for w in distinct if w not in known]
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
-            new = set().union(*words)
+            new = distinct
         self.learn(new)
-        return [self.encode(t).tobytes() if is_whole else b"".join(map(known.__getitem__, w)) for t, w, is_whole in zip(texts, words, whole, strict=True)]
+        found = [known[w] for w in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[word] - end[:-1], n) + np.arange(end[-1])]
+        return ids, np.diff(end[np.asarray(words.offsets)])
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -217,13 +241,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
                 out = where.open_output_stream(path, compression=None)
                 files = FrameWriter(out, words.width)
-            end, (_, at) = struct.pack("<I", end_id), strings(batch.column(1))
+            _, at = strings(batch.column(1))
             for i, j in slabs(at, SLAB):
                 part = batch.slice(i, j - i)
-                for doc_id, data in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(data + end, "<u4")
-                    files.document(doc_id, ids)
-                    total += len(ids)
+                ids, n = words.ids(part.column(1))
+                end = np.cumsum(n)
+                ids = np.insert(ids, end, end_id)
+                for doc_id, a, b in zip(part.column(0).to_pylist(), (end - n + np.arange(len(n))).tolist(), (end + np.arange(1, len(n) + 1)).tolist(), strict=True):
+                    files.document(doc_id, ids[a:b])
+                total += len(ids)
         if out is not None:
             files.close()
             out.close()
