@@ -19,12 +19,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are 0.8 alike."""
+    """One document of each group of texts whose five-word shingles are 0.8 alike; fingerprints and minima give candidates, sets of shingles decide."""
     return keep_first(docs, similar(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents contaminated by the benchmark."""
+    """Drop documents that hold a passage of the benchmark, or are contaminated by its short items."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -103,7 +103,12 @@ def test_blocks_and_their_cache(spark, tmp_path):
     for bad in (-1, 120):
         with pytest.raises(IndexError):
             own.get(bad)
-    fresh = BlockCache(base, str(tmp_path / "fresh"), 7 * 4 * 65)
+    uri, local = (tmp_path / "i").as_uri(), str(tmp_path / "local")
+    assert len(index_files.download(uri, local)) == 5 and index_files.download(uri, local) == []
+    (tmp_path / "local" / index_files.IDS).unlink()
+    assert index_files.download(uri, local) == [index_files.IDS]
+    disk = index_files.load_index_files(spark, local)  # without the vectors, which come by blocks
+    fresh = BlockCache(f"{uri}/{index_files.BASE}", str(tmp_path / "fresh"), 7 * 4 * 65)
     server = service(disk, spark, 0, "127.0.0.1", fresh)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{server.server_address[1]}"

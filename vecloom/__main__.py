@@ -55,8 +55,10 @@ def run_train(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_serve(spark: SparkSession, a: argparse.Namespace) -> None:
     from vecloom.streaming.serve import service
 
-    blocks = BlockCache(os.path.join(a.dir, index_files.BASE), a.cache) if a.cache else None
-    server = service(opened(spark, a.dir), spark, a.port, blocks=blocks)
+    blocks = BlockCache(f"{a.dir.rstrip('/')}/{index_files.BASE}", a.cache) if a.cache else None
+    if a.local:
+        index_files.download(a.dir, a.local)
+    server = service(opened(spark, a.local or a.dir), spark, a.port, blocks=blocks)
     try:
         server.serve_forever()
     except KeyboardInterrupt:
@@ -93,6 +95,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-d", "--dir", required=True)
     v.add_argument("-p", "--port", type=int, default=9000)
     v.add_argument("--cache", help="a local file: vectors are read in blocks from the six-file index and kept there")
+    v.add_argument("--local", help="a folder that the index's other files are first copied to, those that aren't there yet")
     w = kinds.add_parser("load")
     w.add_argument("-u", "--url", default="http://127.0.0.1:9000")
     w.add_argument("-q", "--query", required=True)

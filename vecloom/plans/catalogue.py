@@ -21,6 +21,7 @@ from vecloom.operators import search as S
 from vecloom.operators.index import Index, build_index
 from vecloom.sources import index_files, vecs
 from vecloom.sources.folders import mounted, shared_folder
+from vecloom.streaming.serve import answer_stream
 
 DIM, PROBE, K, EVERY, MOST_LABELS = 64, 3, 10, 50, 4096
 
@@ -344,6 +345,11 @@ def recall_client(spark, d):
     return evaluate.recall_of_lists(lists, truth, 5).select("q_id", F.round("recall", 6).alias("recall"))
 
 
+@query("recall_mean", f"with {ALL}, {TRUE_}, {TWO} select count(*)::bigint as queries, round(avg(recall), 6) as recall from (select q_id, count(two.vec_id) / {K}.0::double recall from tru left join two using (q_id, vec_id) group by q_id)")
+def recall_mean(spark, d):
+    return recall_at_k(spark, d).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
 @query("search_metrics", f"with recursive {ALL}, {HEAP} select count(*)::bigint as query, sum(i)::bigint as rough, sum(precise)::bigint as precise, round(sum(i) / sum(precise)::double, 2) as ratio from last")
 def search_metrics(spark, d):
     return evaluate.search_metrics(S.replay(scored(spark, d), the_index(spark, d).base, the_queries(spark, d), K))
@@ -401,6 +407,20 @@ def query_response_json(spark, d):
     return read.select("q_id", F.posexplode(F.arrays_zip("r.ids", "r.scores")).alias("at", "x")).select("q_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), six("x.scores", "score"))
 
 
+@query("stream_answers", f"with {ALL}, {TWO} select q_id, rank::int as rank, vec_id, round(dist, 6) + 0.0 as score from two")
+def stream_answers(spark, d):
+    """JSON requests as a stream of files, answered in micro-batches, stored by batch."""
+    root = shared_folder(spark)
+    asked = the_queries(spark, d).select("q_id", F.to_json(F.struct(F.col("qv").alias("query"), F.lit(K).alias("top_k"), F.lit(PROBE).alias("probe"))).alias("value"))
+    asked.write.parquet(f"{root}/requests")
+    the_index(spark, d).save(f"{root}/index")
+    requests = spark.readStream.schema(asked.schema).parquet(f"{root}/requests")
+    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/answers/batch={batch}")
+    answer_stream(Index.load(spark, f"{root}/index"), requests, sink, f"{root}/at", once=True).awaitTermination()
+    read = spark.read.schema("q_id long, response string").parquet(f"{root}/answers/*").select("q_id", F.from_json("response", "ids array<bigint>, scores array<double>").alias("r"))
+    return read.select("q_id", F.posexplode(F.arrays_zip("r.ids", "r.scores")).alias("at", "x")).select("q_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), six("x.scores", "score"))
+
+
 ROUND_TRIP = "select (row_number() over (order by vec_id) - 1)::bigint as ordinal, round(list_sum(embedding::double[]), 6) + 0.0 as total, len(embedding)::int as size, embedding[64] as last from embeddings"
 
 
@@ -420,6 +440,22 @@ def ivecs_roundtrip(spark, d):
     return vecs.read_vecs(spark, path, "i32").select("ordinal", F.array_join("vec", ",").alias("ids"))
 
 
+@query("bvecs_roundtrip", f"with {EMB} select (row_number() over (order by vec_id) - 1)::bigint as ordinal, list_sum(list_transform(v, lambda x: abs(round_even(x * 255, 0))::int))::bigint as total, abs(round_even(v[64] * 255, 0))::int as last from e")
+def bvecs_roundtrip(spark, d):
+    """Files of bytes."""
+    path = os.path.join(mounted(shared_folder(spark)), "bytes")
+    vecs.write_vecs(doubles(spark, d).select("vec_id", F.transform("v", lambda x: F.abs(F.rint(x * 255)).cast("int")).alias("b")), path, "b", "u8", "vec_id")
+    return vecs.read_vecs(spark, path, "u8").select("ordinal", F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.col("vec")[63].alias("last"))
+
+
+@query("fvecs_range", f"select * from ({ROUND_TRIP}) where ordinal >= 100 and ordinal < 350")
+def fvecs_range(spark, d):
+    """A range of records; the reader reads no others."""
+    path = os.path.join(mounted(shared_folder(spark)), "base")
+    vecs.write_vecs(embeddings(spark, d), path, "embedding", order="vec_id")
+    return vecs.read_vecs(spark, path, first="100", count="250").select("ordinal", six(V.total(V.vector(F.col("vec"))), "total"), F.size("vec").alias("size"), F.col("vec")[63].alias("last"))
+
+
 @query("u64vecs_roundtrip", f"with {EMB} select (row_number() over (order by vec_id) - 1)::bigint as ordinal, {BITS.format(x='v', cond=' > 0')} as code from e")
 def u64vecs_roundtrip(spark, d):
     path = os.path.join(mounted(shared_folder(spark)), "codes")

@@ -10,11 +10,14 @@ their place; a task that runs again writes the same bytes there. The folder must
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,31 @@ def values(path: str, name: str, at: int, n: int, dtype: str) -> np.ndarray:
     return np.fromfile(os.path.join(path, name), dtype, n, offset=at)
 
 
+def download(uri: str, path: str, names: tuple[str, ...] = (TURN, CENTRES, IDS, VALUES, CODES)) -> list[str]:
+    """Copy the index's files, but the vectors, from any file system that pyarrow knows; those that are here already stay.
+
+    A file has its name once it is whole. Gives the names that were copied.
+    """
+    place, root = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    os.makedirs(path, exist_ok=True)
+    copied = []
+    for name in names:
+        to = os.path.join(path, name)
+        if os.path.exists(to):
+            continue
+        part = f"{to}.{uuid.uuid4().hex}"
+        with place.open_input_stream(f"{root.rstrip('/')}/{name}", compression=None) as source, open(part, "wb") as f:
+            shutil.copyfileobj(source, f, 16 << 20)
+        os.replace(part, to)
+        copied.append(name)
+    return copied
+
+
 def load_index_files(spark: SparkSession, path: str) -> Index:
-    """codes (with pos, the place in index order) and base as tables; vec_id is the row number of the original file."""
+    """codes (with pos, the place in index order) and base as tables; vec_id is the row number of the original file.
+
+    Only a use of base reads the vectors' file.
+    """
     turn, centres = small(path, TURN), small(path, CENTRES).T
     dim = len(turn)
     if dim % 64:
@@ -49,24 +75,29 @@ def load_index_files(spark: SparkSession, path: str) -> Index:
         offsets = np.frombuffer(f.read(4 * k), "<u4").astype(np.int64)
     n, words, after = int(offsets[-1]), dim // 64, 4 + 4 * k + 4
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(i: int, m: int) -> list[pa.Array]:
+        place = np.arange(i, i + m)
+        return [pa.array((np.searchsorted(offsets, place, "right") - 1).astype(np.int32)), pa.array(values(path, IDS, after + 4 * i, m, "<u4").astype(np.int64))]
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
                 m = min(ROWS, n - i)
-                place = np.arange(i, i + m)
                 factors = values(path, VALUES, 4 + 16 * i, 4 * m, "<f4").reshape(m, 4).astype(np.float64)
-                base = values(path, BASE, i * (4 + 4 * dim), m * (dim + 1), "<f4").reshape(m, dim + 1)[:, 1:].astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.searchsorted(offsets, place, "right") - 1).astype(np.int32)), pa.array(values(path, IDS, after + 4 * i, m, "<u4").astype(np.int64)), lists(values(path, CODES, 4 + 8 * words * i, words * m, "<i8").reshape(m, words)),
-                     *[pa.array(factors[:, j]) for j in range(4)], pa.array(place), lists(base)],
-                    ["cluster_id", "vec_id", "code", *FACTORS, "pos", "embedding"],
-                )
-
-    shape = "cluster_id int, vec_id bigint, code array<bigint>, " + ", ".join(f"{f} double" for f in FACTORS) + ", pos bigint, embedding array<double>"
+                code = lists(values(path, CODES, 4 + 8 * words * i, words * m, "<i8").reshape(m, words))
+                yield pa.RecordBatch.from_arrays([*own(i, m), code, *[pa.array(factors[:, j]) for j in range(4)], pa.array(np.arange(i, i + m))], ["cluster_id", "vec_id", "code", *FACTORS, "pos"])
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                m = min(ROWS, n - i)
+                rows = values(path, BASE, i * (4 + 4 * dim), m * (dim + 1), "<f4").reshape(m, dim + 1)[:, 1:].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*own(i, m), lists(rows)], ["cluster_id", "vec_id", "embedding"])
+
     starts = spark.range(0, n, ROWS).repartition(max(1, -(-n // ROWS)))
-    table = starts.mapInArrow(rows, shape)
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id int, centroid array<double>")
-    return Index(table.drop("embedding"), table.select("cluster_id", "vec_id", "embedding"), centroids, turn)
+    shape = "cluster_id int, vec_id bigint, code array<bigint>, " + ", ".join(f"{f} double" for f in FACTORS) + ", pos bigint"
+    return Index(starts.mapInArrow(codes, shape), starts.mapInArrow(base, "cluster_id int, vec_id bigint, embedding array<double>"), centroids, turn)
 
 
 def dump_index_files(index: Index, path: str) -> None:

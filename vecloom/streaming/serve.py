@@ -43,11 +43,12 @@ def answer(index: Index, requests: DataFrame) -> DataFrame:
     return out
 
 
-def answer_stream(index: Index, requests: DataFrame, sink, checkpoint: str) -> StreamingQuery:
+def answer_stream(index: Index, requests: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Each micro-batch of a stream of JSON requests (q_id, value) is searched at once; sink(responses, batch id) stores it.
 
     What isn't a request is answered with what is wrong with it, so it doesn't hold up the others.
-    A batch that runs again has the same id, so a sink that writes by id has each answer once.
+    A batch that runs again has the same id, so a sink that writes by id has each answer once. once: what is there
+    is answered, then the stream ends.
     """
     parsed = requests.select("q_id", F.from_json("value", REQUEST).alias("r")).select("q_id", "r.*")
 
@@ -59,7 +60,8 @@ def answer_stream(index: Index, requests: DataFrame, sink, checkpoint: str) -> S
         finally:
             df.unpersist()
 
-    return parsed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    stream = parsed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if once else stream).start()
 
 
 class Counters:
