@@ -29,7 +29,7 @@ from vecloom.llm.common import keyed, open_folder, public_id, shared_dir, shuffl
 SEEK_HEAD, SEEK_FOOT, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
 LEVEL = 1
-WORDS_KEPT, SLAB, PART = 800_000, 1 << 20, 1 << 20
+WORDS_KEPT, SLAB, PART = 600_000, 1 << 20, 1 << 20
 
 
 #: Where a letter is followed by these, the tokenizer always begins a new piece.
@@ -253,7 +253,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         if out is not None:
             files.close()
             out.close()
-            words.known.clear()  # the worker lives on
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": [len(files.index)], "n_tokens": [total]})
 
     ordered = (
