@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import NULL_ID, ends, keyed, settle, shuffle_partitions, slabs, strings
@@ -376,9 +376,9 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
     prints = settle(rows.mapInArrow(sketches(words), SKETCH))
     name = F.struct("doc_id", "key")
     nodes = settle(prints.groupBy("s1", "s2").agg(F.min(name).alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "print", "marks")]))
-    of_band = Window.partitionBy("h")
     cells = nodes.select("node", "n", F.explode("bands").alias("h"))
-    cells = settle(cells.withColumns({"first": F.min(F.struct("node", "n")).over(of_band), "members": F.count("*").over(of_band)}).where("members > 1"))
+    firsts = cells.groupBy("h").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")  # no window: a band may hold many
+    cells = settle(cells.join(firsts.drop("members"), "h"))
 
     def sized(a: str, b: str) -> Column:  # sets of other sizes can't be so alike
         return F.least(a, b) / F.greatest(a, b) >= similarity
