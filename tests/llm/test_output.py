@@ -270,6 +270,26 @@ def test_audio(spark, tmp_path):
     assert audio.media_features(frame(spark, [])).count() == 0
 
 
+def test_tensor_files_end_where_they_were_written(tmp_path, monkeypatch):
+    class Task:
+        partitionId = taskAttemptId = lambda self: 3
+
+    monkeypatch.setattr(audio.TaskContext, "get", staticmethod(Task))
+    monkeypatch.setattr(audio, "FLUSH", 5)
+    (tmp_path / "t").mkdir()
+    for counts in ([5], [2, 0, 3, 5], [1, 5, 2], [12]):
+        writer, values, at = audio.TensorWriter((tmp_path / "t").as_uri()), np.random.default_rng(1).normal(size=(20, audio.FRAMES, audio.MELS)), 0
+        for d, n in enumerate(counts):
+            name, row = writer.write(d, -d, [{"begin_s": float(k), "end_s": k + 1.0} for k in range(n)], values[at : at + n])
+            assert (row == at and name) if n else name is None
+            at += n
+        writer.close()
+        stored = audio.read_tensors((tmp_path / "t").as_uri(), writer.name)
+        assert stored.column("doc_id").to_pylist() == [d for d, n in enumerate(counts) for _ in range(n)]
+        assert np.allclose(stored.column("tensor").combine_chunks().to_numpy_ndarray(), values[:at], atol=0.01)
+    audio.TensorWriter((tmp_path / "t").as_uri()).close()  # no segments: no file
+
+
 def test_wav_and_resampling():
     import wave
 

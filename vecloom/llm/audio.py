@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from vecloom.llm.common import keyed, open_folder, row_key, settle, shared_dir, strings
 
 RATE, TARGET, UNIT = 16_000, 8_000, 192
-TAPS, WINDOW, HOP, FFT, MELS, FRAMES, GROUP = 8, 200, 80, 256, 16, 8, 1024
+TAPS, WINDOW, HOP, FFT, MELS, FRAMES, GROUP, FLUSH = 8, 200, 80, 256, 16, 8, 1024, 4096
 RISE, FALL = 0.5, -0.25
 TENSOR = pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS])
 STORED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("segment", pa.int32()), ("begin_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR)])
@@ -179,12 +179,13 @@ class TensorWriter:
             [pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([s["begin_s"] for s in spans]), pa.array([s["end_s"] for s in spans]), as_tensors(values)], schema=STORED,
         ))
         self.rows, self.size = self.rows + n, self.size + n
-        if self.size > 4096:
+        if self.size >= FLUSH:
             self.flush()
         return self.name, at
 
     def flush(self) -> None:
-        self.file.write_table(pa.Table.from_batches(self.held).combine_chunks())
+        if self.held:
+            self.file.write_table(pa.Table.from_batches(self.held).combine_chunks())
         self.held, self.size = [], 0
 
     def close(self) -> None:
