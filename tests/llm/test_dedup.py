@@ -95,6 +95,20 @@ def test_a_shared_line_is_sent_once_a_block(hot):
     assert got == repeats(same) and sent == in_turn(same[:2], substring_dedup.Dedup(3, 50, 20, 0 if hot == 10 else hot), 2)[1]
 
 
+def test_rows_between_blocks_and_shards_of_a_large_table(spark, monkeypatch):
+    """Each block has a row for each shard: parts of one size would be 1,431 by 1,431 at 6 GB of text, 4 times that at 12 GB."""
+    texts, seen = awkward(), {}
+    plan, blocks, job = substring_dedup.plan, substring_dedup.in_blocks, substring_dedup.Dedup
+    for total in (10**6, 6 * 10**9, 12 * 10**9):
+        monkeypatch.setattr(substring_dedup, "plan", lambda rows: (total, *plan(rows)[1:]))
+        monkeypatch.setattr(substring_dedup, "in_blocks", lambda rows, n: seen.update(blocks=n) or blocks(rows, min(n, 5)))
+        monkeypatch.setattr(substring_dedup, "Dedup", lambda n, *how: seen.update(shards=n) or job(min(n, 7), *how))
+        found = substring_dedup.remove_repeats(frame(spark, texts))
+        assert seen["blocks"] * seen["shards"] <= max(1, total // 5000)
+        assert -(-total // seen["blocks"]) <= 16 << 20 and -(-total // seen["shards"]) <= 8 << 20  # memory stays bounded
+    assert of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats(texts)
+
+
 def test_no_documents(spark):
     empty = frame(spark, [])
     for found in (substring_dedup.remove_repeats(empty), line_dedup.dedup_lines(empty), simhash.near_duplicates(empty), simhash.keep_first(empty)):

@@ -28,7 +28,8 @@ from vecloom.llm.common import BLOCK_BYTES, again, ends, in_blocks, keyed, parts
 from vecloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
-HOT, PIECE, SLAB, CHUNK, SHARD_BYTES, MERGED, HELD = 1 << 14, 64, 1 << 19, 1 << 19, 4 << 20, 1 << 20, 1 << 19
+HOT, PIECE, SLAB, CHUNK, SHARD_BYTES, MERGED, HELD = 1 << 14, 64, 1 << 16, 1 << 19, 4 << 20, 1 << 20, 1 << 19
+LEAST_PARTS, LARGER_BLOCKS, LARGER_SHARDS = 64, 4, 2
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 U32, U64 = np.uint32, np.uint64
 
@@ -36,6 +37,7 @@ ANCHORS = "bucket int, block int, hashes binary, counts binary"
 SHARED = "block int, bucket int, hashes binary, hot binary"
 STRETCHES = "shard int, block int, text binary, sizes binary, keys binary, hot binary, low binary, high binary"
 REPLY = np.dtype([("key", "<u8"), ("name", "<u8"), ("first", "<u4"), ("last", "<u4"), ("least", "<i8"), ("hot", "?")])
+STRETCH = np.dtype([("key", "<u8"), ("name", "<u8"), ("begin", "<i8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u4"), ("hot", "?")])
 MARKS = "block int, reply binary"
 KEPT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
@@ -140,6 +142,27 @@ def unpacked(column: pa.ChunkedArray) -> list[bytes]:
     return [z.decompress(x.as_py()) for x in column]
 
 
+def pieces(part: np.ndarray, first: np.ndarray, last: np.ndarray, warm: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """What is looked up of these runs, whole ones or each window of a hot one: the run's place, begin, end, name."""
+    n = np.where(warm, last - first + 1, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    begin = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    end = np.where(warm[of], begin, last[of]) + length
+    text, digest = part.tobytes(), xxhash.xxh64_intdigest
+    return of, begin, end, np.fromiter((digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist(), strict=True)), U64, len(of))
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
+    """Each different stretch once (its text decides its key), with the first and last document of those that are equal."""
+    by = np.argsort(found["name"], kind="stable")
+    name, key = found["name"][by], found["key"][by]
+    head = np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])])[: len(by)]
+    e = np.flatnonzero(head)
+    out = found[by[e]]
+    out["high"] = found["high"][by[np.append(e[1:], len(by)) - 1]] if len(e) else out["high"]
+    return out
+
+
 def edges(sorted_: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins, and the end."""
     return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, np.int64)
@@ -198,55 +221,39 @@ class Dedup:
         by = np.argsort(key)
         key, hot = key[by], hot[by]
         doc, _, data, edge = ordered(table)
-        index: dict[tuple[int, bytes], int] = {}
-        low, high, sent = [], [], []  # documents come in ascending order
-
-        def keep(k: int, x: bytes, d: int) -> None:
-            i = index.setdefault((k, x), len(index))
-            if i == len(low):
-                low.append(d)
-                high.append(d)
-            else:
-                high[i] = d
-
-        def flush() -> None:
-            keys = np.fromiter((k for k, _ in index), U64, len(index))
-            warm = hot[np.searchsorted(key, keys)] if len(key) else np.zeros(0, bool)
-            sent.append(self.by_shard([x for _, x in index], keys, warm, np.array(low, np.int64), np.array(high, np.int64), table.column("block")[0].as_py()))
-            index.clear()
-            low.clear()
-            high.clear()
-
-        for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(key) else ():
-            if len(index) > HELD:
-                flush()
-            own = self.keys(h)
-            where = np.minimum(np.searchsorted(key, own), len(key) - 1)
-            hit = np.flatnonzero(key[where] == own)
-            docs = doc[np.searchsorted(edge, base + first[hit], "right") - 1]
-            text = part.tobytes()
-            for a, b, k, warm, d in zip(first[hit].tolist(), last[hit].tolist(), own[hit].tolist(), hot[where[hit]].tolist(), docs.tolist(), strict=True):
-                if warm:
-                    for w in range(a, b + 1):
-                        keep(k, text[w : w + self.length], d)
-                else:
-                    keep(k, text[a : b + self.length], d)
-        flush()
+        block = table.column("block")[0].as_py()
+        kept, held, sent = np.zeros(0, STRETCH), [], []  # documents come in ascending order
+        for over, found in ends(slices(data, edge, self.length, self.k) if len(key) else iter(())):
+            if not over:
+                base, part, (first, last, h) = found
+                own = self.keys(h)
+                where = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                hit = np.flatnonzero(key[where] == own)
+                warm = hot[where[hit]]
+                of, begin, end, names = pieces(part, first[hit], last[hit], warm, self.length)
+                new = np.zeros(len(of), STRETCH)
+                new["key"], new["name"], new["hot"] = own[hit][of], names, warm[of]
+                new["begin"], new["size"] = base + begin, end - begin
+                new["low"] = new["high"] = doc[np.searchsorted(edge, base + first[hit], "right") - 1][of]
+                held.append(new)
+            if held and (over or sum(map(len, held)) > HELD):
+                kept, held = distinct(np.concatenate([kept, *held])), []
+            if over or len(kept) > HELD:
+                sent.append(self.by_shard(data, kept, block))
+                kept = kept[:0]
         return pa.concat_tables(sent)
 
-    def by_shard(self, texts: list[bytes], keys: np.ndarray, warm: np.ndarray, low: np.ndarray, high: np.ndarray, block: int) -> pa.Table:
+    def by_shard(self, data: np.ndarray, found: np.ndarray, block: int) -> pa.Table:
         """A row for each shard with the stretches that go there."""
-        heads = keys.copy()
-        for i in np.flatnonzero(warm).tolist():
-            heads[i] = xxhash.xxh64_intdigest(texts[i])
-        shard = (mix(heads) % U64(self.shards)).astype(np.int32)
-        size = np.fromiter(map(len, texts), U32, len(texts))
-        by = np.argsort(shard, kind="stable")
-        e = edges(shard[by])
+        shard = (mix(np.where(found["hot"], found["name"], found["key"])) % U64(self.shards)).astype(np.int32)
+        by = np.lexsort((found["begin"], shard))
+        found, e = found[by], edges(shard[by])
+        raw = memoryview(data)
+        texts = [raw[i:j] for i, j in zip(found["begin"].tolist(), (found["begin"] + found["size"]).tolist(), strict=True)]
         return pack(
             shard=shard[by][e[:-1]], block=np.full(len(e) - 1, block, np.int32),
-            text=packed(binary([b"".join(texts[k] for k in by[i:j].tolist()) for i, j in zip(e[:-1], e[1:], strict=True)])),
-            sizes=packed(cut(size[by], e)), keys=packed(cut(keys[by], e)), hot=packed(cut(warm[by], e)), low=packed(cut(low[by], e)), high=packed(cut(high[by], e)),
+            text=packed(binary([b"".join(texts[i:j]) for i, j in zip(e[:-1], e[1:], strict=True)])),
+            sizes=packed(cut(found["size"], e)), keys=packed(cut(found["key"], e)), hot=packed(cut(found["hot"], e)), low=packed(cut(found["low"], e)), high=packed(cut(found["high"], e)),
         )
 
     def smallest(self, texts: list[bytes], docs: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
@@ -337,25 +344,19 @@ class Dedup:
         hot = replies["hot"][where]
         replies = replies[np.lexsort((replies["first"], replies["name"]))]
         spans: list[list[int]] = [[] for _ in doc]
-        digest = xxhash.xxh64_intdigest
         for base, part, (first, last, h) in slices(data, edge, self.length, self.k) if len(some) else ():
             own = self.keys(h)
             where = np.minimum(np.searchsorted(some, own), len(some) - 1)
             hit = np.flatnonzero(some[where] == own)
-            text, names, at, keys = part.tobytes(), [], [], []
-            for a, b, k, warm in zip(first[hit].tolist(), last[hit].tolist(), own[hit].tolist(), hot[where[hit]].tolist(), strict=True):
-                for x, y in ((w, w) for w in range(a, b + 1)) if warm else ((a, b),):
-                    names.append(digest(text[x : y + self.length]))
-                    at.append(x)
-                    keys.append(k)
-            names_, at_, keys_ = np.array(names, U64), np.array(at, np.int64), np.array(keys, U64)
-            lo, hi = np.searchsorted(replies["name"], names_), np.searchsorted(replies["name"], names_, "right")
+            back, at, _, names = pieces(part, first[hit], last[hit], hot[where[hit]], self.length)
+            keys = own[hit][back]
+            lo, hi = np.searchsorted(replies["name"], names), np.searchsorted(replies["name"], names, "right")
             n = hi - lo
             of = np.repeat(np.arange(len(n)), n)
             found = replies[lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
-            row = np.searchsorted(edge, base + at_[of], "right") - 1
-            gone = (found["key"] == keys_[of]) & (found["least"] < doc[row])
-            begin = base + at_[of] - edge[row] + found["first"]
+            row = np.searchsorted(edge, base + at[of], "right") - 1
+            gone = (found["key"] == keys[of]) & (found["least"] < doc[row])
+            begin = base + at[of] - edge[row] + found["first"]
             end = begin + (found["last"].astype(np.int64) - found["first"]) + self.length
             for r, i, j in zip(row[gone].tolist(), begin[gone].tolist(), end[gone].tolist(), strict=True):  # beginnings ascend
                 mine = spans[r]
@@ -378,6 +379,12 @@ class Dedup:
         )
 
 
+def part_bytes(total: int, least: int, larger: int) -> int:
+    """The size of a part: `least`, in large tables up to `larger` times that. Every block has a row for every shard in
+    four exchanges, so parts of one size make these rows grow with the square of the table."""
+    return min(max(least, total // LEAST_PARTS), least * larger)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, key, n_bytes, n_removed, n_spans, kept_sha256 and spans (where the removed runs begin and end) of each row.
 
@@ -386,8 +393,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     remove. Rows that are the same throughout are worked on once. Empty table: no rows.
     """
     total, rows, several = plan(keyed(docs))
-    blocks = in_blocks(rows, parts_of(total, BLOCK_BYTES))
-    job = Dedup(parts_of(total, SHARD_BYTES), length, k, hot)
+    blocks = in_blocks(rows, parts_of(total, part_bytes(total, BLOCK_BYTES, LARGER_BLOCKS)))
+    job = Dedup(parts_of(total, part_bytes(total, SHARD_BYTES, LARGER_SHARDS)), length, k, hot)
     by_block = blocks.groupBy("block")
     shared = by_block.applyInArrow(lambda t: job.anchors(t), ANCHORS).groupBy("bucket").applyInArrow(lambda t: job.shared(t), SHARED)
     marks = by_block.cogroup(shared.groupBy("block")).applyInArrow(lambda t, r: job.stretches(t, r), STRETCHES).groupBy("shard").applyInArrow(lambda t: job.marks(t), MARKS)
