@@ -184,8 +184,9 @@ def summed(n: Column) -> Column:
 
 @query("query_quantize", f"with {EMB}, {CEN}, {QUE}, {PRO} select q_id, cluster_id, round(low, 6) + 0.0 as low, round(delta, 6) + 0.0 as delta, list_sum(n)::bigint as q_sum from qnt")
 def query_quantize(spark, d):
-    df = probed_residuals(spark, d)
-    return df.select("q_id", "cluster_id", six("low"), six("delta"), summed(V.quantize(F.col("t"), F.col("low"), F.col("delta"))).alias("q_sum"))
+    n = V.quantize(F.col("t"), F.col("low"), F.col("delta"))
+    df = probed_residuals(spark, d).withColumn("q_sum", summed(n))  # beside the rounded columns, a lambda would take low and delta from those
+    return df.select("q_id", "cluster_id", six("low"), six("delta"), "q_sum")
 
 
 BIASED = "list_sum(list_transform(range(1, 65), lambda i: case when delta = 0 then 0 else floor((t[i] - low) / delta + {bias})::int end))::bigint as q_sum"
