@@ -18,7 +18,7 @@ TABLES = ("codes", "base", "centroids", "rotation")
 class Index:
     """codes: cluster_id, vec_id, code and factors. base: cluster_id, vec_id, embedding. centroids: rotated. rotation: dim by dim.
 
-    Codes and vectors are apart, so that a search reads the vectors of what is left after scoring only.
+    Codes and vectors are apart, so that what asks for one of them doesn't read the other. whole: both in one, if there is such.
     """
 
     codes: DataFrame
@@ -26,11 +26,18 @@ class Index:
     centroids: DataFrame
     rotation: np.ndarray
     metrics: dict = field(default_factory=dict)
+    whole: DataFrame | None = None
 
     @property
     def dim(self) -> int:
         return len(self.rotation)
 
+    def rows(self) -> DataFrame:
+        """Codes with their vectors."""
+        if self.whole is not None:
+            return self.whole
+        return self.codes.join(self.base.select("cluster_id", "vec_id", "embedding"), ["cluster_id", "vec_id"])
+
     def save(self, path: str) -> None:
         """Parquet tables under path; codes and base are partitioned by cluster, so that a probe reads its clusters only.
 
@@ -78,7 +85,8 @@ def build_index(vectors: DataFrame, centroids: DataFrame, rotation: np.ndarray)
     rows = vectors.select("vec_id", "embedding", F.col("embedding").cast("array<double>").alias("turned"))
     placed = nearest(rotate(rows, "turned", rotation), "turned", turned, dim)
     codes = encode(placed.select("vec_id", "cluster_id", "turned"), "turned", turned, dim).drop("turned")
-    return Index(codes, placed.select("cluster_id", "vec_id", "embedding"), turned, rotation)
+    whole = encode(placed.select("vec_id", "cluster_id", "embedding", "turned"), "turned", turned, dim).drop("turned")
+    return Index(codes, placed.select("cluster_id", "vec_id", "embedding"), turned, rotation, whole=whole)
 
 
 def turned_queries(queries: DataFrame, rotation: np.ndarray) -> DataFrame:

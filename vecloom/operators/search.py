@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
 from vecloom.functions.kernels import ROWS, Blocks, distances, matrix, probes
+from vecloom.operators import blockwise
 from vecloom.operators.index import Index, turned_queries
 from vecloom.sources.blocks import BLOCK_BYTES
-from vecloom.sources.folders import stored
 
 WINDOW = 12
 QUERY_BYTES, QUERIES, PAIRS = 16 << 20, 1024, 1 << 16
+FOUND = "q_id long, vec_id long, dist double, rank int"
 
 
 def top_k(df: DataFrame, k: int, *by: str) -> DataFrame:
@@ -72,36 +73,13 @@ def candidates(index: Index, probed: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of candidates that are sent to all executors, so that the vectors they ask for stay where they are.
-SENT = 1 << 20
-
-
-def exact(some: DataFrame, base: DataFrame, queries: DataFrame, dim: int | None = None, n: int | None = None) -> DataFrame:
-    """Candidates with dist, from the vectors as they were. Only now are vectors read, of the candidates' clusters.
-
-    n: how many candidates there are, where that is known. Up to SENT of them, the vectors aren't shuffled.
-    """
-    if n is not None and n <= SENT:
-        some = F.broadcast(some)
+def exact(some: DataFrame, base: DataFrame, queries: DataFrame, dim: int | None = None) -> DataFrame:
+    """Candidates with dist, from the vectors as they were."""
     named = queries.select("q_id", V.vector(F.col("qv")).alias("_y"))
     v = base.select("cluster_id", "vec_id", F.col("embedding").alias("_x"))
     return some.join(v, ["cluster_id", "vec_id"]).join(named, "q_id").withColumn("dist", V.l2(V.vector(F.col("_x")), F.col("_y"), dim)).drop("_x", "_y")
 
 
-def two_stage(scored: DataFrame, base: DataFrame, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
-    """The k nearest by exact distance of those whose bound isn't above the worst of the k with the least bounds.
-
-    Doesn't depend on the order of rows. A query with fewer than k candidates keeps them all. The candidates that
-    are left are written to the shared folder, so that counting them, to choose the join, doesn't score them again.
-    """
-    first = top_k(scored, k, "rough", "vec_id").drop("rank")
-    near = exact(first, base, queries, dim, queries.count() * k)
-    limit = near.groupBy("q_id").agg(F.when(F.count("*") == k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("limit"))
-    left = scored.join(limit, "q_id").where("rough <= limit")
-    left = stored(left.select("q_id", "vec_id", "cluster_id"))
-    return top_k(exact(left, base, queries, dim, left.count()), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
-
-
 class Heap:
     """Keeps the k nearest; its limit is the worst of them once there are k."""
 
@@ -120,7 +98,7 @@ class Heap:
 
 
 class Windowed(Heap):
-    """Keeps all that is accepted; its limit is the worst of the last WINDOW accepted, set anew after each WINDOW."""
+    """Keeps the k nearest of what is accepted; its limit is the worst of the last WINDOW accepted, set anew after each WINDOW."""
 
     def __init__(self, k: int):
         super().__init__(k)
@@ -128,6 +106,8 @@ class Windowed(Heap):
 
     def accept(self, dist: float, vec_id: int) -> None:
         self.kept.append((dist, vec_id))
+        if len(self.kept) > 2 * self.k + 1024:
+            self.kept = self.result()
         self.n, self.worst = self.n + 1, max(self.worst, dist)
         if self.n >= WINDOW:
             self.limit, self.n, self.worst = self.worst, 0, float("-inf")
@@ -172,22 +152,38 @@ def replay(scored: DataFrame, base: DataFrame, queries: DataFrame, k: int, heuri
     return ordered.select("q_id", "vec_id", "rough", "dist").mapInArrow(run, "q_id long, vec_id long, dist double, rank int, n_rough long, n_precise long")
 
 
+def near_clusters(index: Index, queries: DataFrame, probe: int) -> DataFrame:
+    return probes(turned_queries(queries, index.rotation), index.centroids, index.dim, probe)
+
+
 def search(index: Index, queries: DataFrame, probe: int, k: int, rerank: str = "two_stage") -> DataFrame:
-    """q_id, vec_id, dist, rank for queries q_id, qv. rerank: two_stage, heap or heuristic (see replay)."""
-    probed = probes(turned_queries(queries, index.rotation), index.centroids, index.dim, probe)
-    scored = candidates(index, probed)
+    """q_id, vec_id, dist, rank for queries q_id, qv. rerank: two_stage, heap or heuristic (see scans)."""
     if rerank == "two_stage":
-        return two_stage(scored, index.base, queries, k)
+        return blockwise.run(index, near_clusters(index, queries, probe), queries, blockwise.two_stage, FOUND, k)
     if rerank not in ("heap", "heuristic"):
         raise ValueError(f"no re-ranker {rerank}")
-    return replay(scored, index.base, queries, k, rerank == "heuristic").select("q_id", "vec_id", "dist", "rank")
+    return scans(index, queries, probe, k, rerank == "heuristic").select("q_id", "vec_id", "dist", "rank")
+
+
+def scans(index: Index, queries: DataFrame, probe: int, k: int, heuristic: bool = False) -> DataFrame:
+    """replay() of many queries: its columns and rows. A query's scan is in one task, beside those of its group."""
+    keeper = Windowed if heuristic else Heap
+    return blockwise.run(index, near_clusters(index, queries, probe), queries, blockwise.scan, f"{FOUND}, n_rough long, n_precise long", k, keeper=keeper)
 
 
 def ivf_flat(index: Index, queries: DataFrame, probe: int, k: int) -> DataFrame:
     """The k nearest of the probed clusters, all of them by exact distance."""
-    probed = probes(turned_queries(queries, index.rotation), index.centroids, index.dim, probe).select("q_id", "cluster_id")
-    some = index.codes.select("cluster_id", "vec_id").join(probed, "cluster_id")
-    return top_k(exact(some, index.base, queries), k, "dist", "vec_id").select("q_id", "vec_id", "dist", "rank")
+    return blockwise.run(index, near_clusters(index, queries, probe), queries, blockwise.flat, FOUND, k)
+
+
+def least_bounds(index: Index, queries: DataFrame, probe: int, k: int) -> DataFrame:
+    """q_id and vec_id of the candidates with the k least bounds: the first stage of a search."""
+    return blockwise.run(index, near_clusters(index, queries, probe), queries, blockwise.least_bounds, "q_id long, vec_id long", k)
+
+
+def violations(index: Index, queries: DataFrame, probe: int) -> DataFrame:
+    """q_id, n and above: a query's candidates, and those whose bound is above their distance."""
+    return blockwise.run(index, near_clusters(index, queries, probe), queries, blockwise.violations, "q_id long, n long, above long")
 
 
 def scan(rows: Iterator[tuple[float, int, int]], query: np.ndarray, vector_at, k: int, heuristic: bool = False) -> tuple[list[tuple[float, int]], int, int]:
