@@ -328,7 +328,7 @@ def ann_search_disk(spark, d):
 @query("block_misses", f"with {ALL}, pla as (select vec_id, row_number() over (order by cluster_id, d2, vec_id) - 1 pos from asg), near as (select * from exa qualify row_number() over (partition by q_id order by rough, vec_id) <= {K}) select (pos // (524288 // 260))::bigint as block, count(*)::bigint as reads from near join pla using (vec_id) group by all")
 def block_misses(spark, d):
     """Blocks of a vector file that the first stage of a search reads, and how often; each is missed once by a cache."""
-    near = S.top_k(scored(spark, d), K, "rough", "vec_id").select("q_id", "vec_id")
+    near = S.least_bounds(the_index(spark, d), the_queries(spark, d), PROBE, K)
     places = cluster.layout(assigned(spark, d)).select("vec_id", "pos")
     return S.blocks_of(near.join(places, "vec_id"), DIM).groupBy("block").agg(F.count("*").alias("reads"))
 
