@@ -353,7 +353,7 @@ def recall_mean(spark, d):
 
 @query("search_metrics", f"with recursive {ALL}, {HEAP} select count(*)::bigint as query, sum(i)::bigint as rough, sum(precise)::bigint as precise, round(sum(i) / sum(precise)::double, 2) as ratio from last")
 def search_metrics(spark, d):
-    return evaluate.search_metrics(S.replay(scored(spark, d), the_index(spark, d).base, the_queries(spark, d), K))
+    return evaluate.search_metrics(S.scans(the_index(spark, d), the_queries(spark, d), PROBE, K))
 
 
 @query("hash_sample_global", "select vec_id, label from embeddings order by md5(vec_id::varchar), vec_id limit 100")
