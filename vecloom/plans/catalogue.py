@@ -293,8 +293,8 @@ def rough_distance(spark, d):
 
 @query("bound_violation_rate", f"with {ALL} select count(*)::bigint as n, count_if(rough > dist)::bigint as above, round(count_if(rough > dist) / count(*)::double, 6) as rate from exa")
 def bound_violation_rate(spark, d):
-    both = S.exact(scored(spark, d), the_index(spark, d).base, the_queries(spark, d), DIM)
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("rough") > F.col("dist")).alias("above")).withColumn("rate", F.round(F.col("above") / F.col("n"), 6))
+    each = S.violations(the_index(spark, d), the_queries(spark, d), PROBE)
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("above"), F.lit(0)).alias("above")).withColumn("rate", F.round(F.col("above") / F.col("n"), 6))
 
 
 @query("ivf_flat_topk", f"with {ALL} select q_id, vec_id, round(dist, 6) + 0.0 as dist, (row_number() over (partition by q_id order by exa.dist, vec_id))::int as rank from exa qualify rank <= {K}")
